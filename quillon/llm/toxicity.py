@@ -238,7 +238,13 @@ def fit(
         .where((F.col("toxic") >= min_docs) & (F.col("toxic") >= min_worth * (F.col("toxic") + F.col("clean") * weight + 0.5)))
         .orderBy(F.desc("toxic"), "term").limit(max_terms).collect()
     )
-    chosen = sorted((r.term[:-1] for r in terms if r.term.endswith("*")), key=lambda x: (len(x), x))
+    # a stem that one word makes up nearly alone gives way to that word
+    led = {}
+    for r in terms:
+        if not r.term.endswith("*"):
+            for n in STEMS:
+                led[r.term[:n]] = max(led.get(r.term[:n], 0), r.toxic)
+    chosen = sorted((r.term[:-1] for r in terms if r.term.endswith("*") and led.get(r.term[:-1], 0) < 0.7 * r.toxic), key=lambda x: (len(x), x))
     stems: list[str] = []
     for stem in chosen:
         if not any(stem.startswith(x) for x in stems):
