@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,12 +169,35 @@ class LoserTree:
 # ---- stages --------------------------------------------------------------------------------------------
 
 _TEXT_BITS = 0xFFFF
+#: Stands for a null id: it sorts before all others.
+NULL_ID = -(1 << 63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     mark = F.xxhash64(text).bitwiseAND(_TEXT_BITS)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("data"), mark.alias("mark"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.cast("binary").alias("data"), mark.alias("mark"))
+
+
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, mark, n) of whole texts that an earlier id has too, by two 64-bit hashes; n counts their bytes."""
+    rows = keyed.select("doc_id", "mark", F.xxhash64("data").alias("h1"), F.xxhash64(F.lit(0x51ED), "data").alias("h2"), F.octet_length("data").cast("long").alias("n"))
+    first = rows.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    return rows.join(first.select("h1", "h2", "n", "first"), ["h1", "h2", "n"]).where("doc_id <> first").select("doc_id", "mark", "n").distinct()
+
+
+def _pressed(keyed: DataFrame) -> DataFrame:
+    """Texts compressed for their exchange: (doc_id, mark, data)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("data", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([press.compress(x.as_buffer()) for x in part.column(2)], pa.binary())], schema=schema)
+
+    return keyed.select("doc_id", "mark", "data").mapInArrow(run, "doc_id long, mark long, data binary")
 
 
 def _pack(first: np.ndarray, last: np.ndarray, at: np.ndarray, mark: int) -> np.ndarray:
@@ -203,14 +227,12 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 _RUN = "part int, doc_id binary, place binary, gram binary, shared binary, sizes binary, tails binary, n long"
 _SPANS = "doc_id long, mark long, first long, last long"
-NULL_ID = -(1 << 63)
-
 
-def _runs(met: DataFrame, parts: int, length: int, rows: int = 40_000) -> DataFrame:
+def _runs(met: DataFrame, parts: int, length: int, rows: int = 120_000) -> DataFrame:
     """Sorted front-coded runs of the strings that anchors stand for, by partition of their gram; and,
     within a run, spans of strings that the run itself has earlier (negative parts, dealt anywhere).
 
-    ``met``: (doc_id, data, grams, places).  A string goes from an anchor's first window to the end of its last.
+    ``met``: (doc_id, compressed data, grams, places).  A string goes from an anchor's first window to the end of its last.
     """
     names = ["part", "doc_id", "place", "gram", "shared", "sizes", "tails", "n"]
     kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64()]
@@ -218,6 +240,7 @@ def _runs(met: DataFrame, parts: int, length: int, rows: int = 40_000) -> DataFr
 
     def emit(items: list[tuple[int, bytes, int, int, int]]) -> Iterator[pa.RecordBatch]:
         items.sort()
+        press = zstandard.ZstdCompressor(level=3)
         out: list[tuple] = []
         at = 0
         twice: list[tuple[int, int]] = []
@@ -238,7 +261,7 @@ def _runs(met: DataFrame, parts: int, length: int, rows: int = 40_000) -> DataFr
                 grams.append(gram)
             shared, tails = front_code(keys)
             pack = lambda x, t: np.array(x, dtype=t).tobytes()
-            out.append((part, pack(ids, "<i8"), pack(places, "<i8"), pack(grams, "<i8"), pack(shared, "<u2"), pack([len(t) for t in tails], "<u2"), b"".join(tails), len(keys)))
+            out.append((part, pack(ids, "<i8"), pack(places, "<i8"), pack(grams, "<i8"), pack(shared, "<u2"), pack([len(t) for t in tails], "<u2"), press.compress(b"".join(tails)), len(keys)))
         if twice:
             out.append((-1 - twice[0][1] % parts, np.array([d for d, _ in twice], "<i8").tobytes(), np.array([p for _, p in twice], "<i8").tobytes(), b"", b"", b"", b"", len(twice)))
         if out:
@@ -246,16 +269,16 @@ def _runs(met: DataFrame, parts: int, length: int, rows: int = 40_000) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: list[tuple[int, bytes, int, int, int]] = []
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for doc_id, data, grams, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
-                data, doc_id = data.as_buffer(), NULL_ID if doc_id is None else doc_id
-                view = memoryview(data)
+                data = press.decompress(data.as_buffer())
                 g = np.frombuffer(grams.values.buffers()[1], dtype=np.int64)[grams.values.offset : grams.values.offset + len(grams.values)]
                 p = np.frombuffer(places.values.buffers()[1], dtype=np.int64)[places.values.offset : places.values.offset + len(places.values)]
                 first = p >> 28
                 last = first + ((p >> 22) & 63)
                 for part, a, b, place, gram in zip((g.view(np.uint64) % np.uint64(parts)).tolist(), first.tolist(), (last + length).tolist(), p.tolist(), g.tolist(), strict=True):
-                    items.append((part, bytes(view[a:b]), doc_id, place, gram))
+                    items.append((part, data[a:b], doc_id, place, gram))
                 if len(items) >= rows:
                     yield from emit(items)
                     items = []
@@ -276,7 +299,8 @@ def _merge(runs: DataFrame, length: int) -> DataFrame:
         ids, places, grams = (np.frombuffer(row[k], "<i8").tolist() for k in ("doc_id", "place", "gram"))
         shared, sizes = (np.frombuffer(row[k], "<u2").tolist() for k in ("shared", "sizes"))
         ends = np.cumsum(sizes).tolist()
-        tails = [row["tails"][e - s : e] for e, s in zip(ends, sizes, strict=True)]
+        whole = zstandard.ZstdDecompressor().decompress(row["tails"])
+        tails = [whole[e - s : e] for e, s in zip(ends, sizes, strict=True)]
         for (n, key), doc_id, place, gram in zip(front_decode(shared, tails), ids, places, grams, strict=True):
             yield n, key, (doc_id, place, gram)
 
@@ -368,6 +392,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: UTF-8 bytes under no string of ``length``
     bytes that also starts earlier (in a smaller id, or before in the same document).
 
+    0. Texts that are whole copies of an earlier one are found by hash and removed whole.
     1. Sampling that loses nothing: each window of ``length`` bytes is stood for by its gram of least hash;
        windows whose gram stands at one place only repeat nowhere and go no further.
     2. The strings around the other grams are sorted within tasks, front-coded into runs, exchanged by gram,
@@ -380,27 +405,29 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text are ordered by start, then by a hash of the text; an empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * n
     keyed = _keyed(docs, id_col, text_col)
-    distinct_rows = _anchor_rows(keyed, length)
-    found = repeated(distinct_rows, "gram")
-    marked = found.select("doc_id", F.col("place").bitwiseAND(_TEXT_BITS).alias("mark"), "gram", "place")
-    by_doc = materialize(marked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("x")).select("doc_id", "mark", F.col("x.gram").alias("grams"), F.col("x.place").alias("places")), "anchors")
-    parts = parts or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    same = lambda other: keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["mark"] == other["mark"])
-    once = keyed.join(by_doc, same(by_doc)).select(keyed["doc_id"], "data", "grams", "places")
-    runs = _runs(once, parts, length)
-    merged = _merge(runs.repartition("part").sortWithinPartitions("part"), length)
-    spans = materialize(merged.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("x")).select(F.when(F.col("doc_id") == NULL_ID, None).otherwise(F.col("doc_id")).alias("doc_id"), "mark", F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts")), "spans")
-    whole = keyed.join(spans, same(spans), "left").select(keyed["doc_id"], "data", "firsts", "lasts")
+    copies = materialize(_copies(keyed), "copies")
+    # one exchange of texts serves both joins below
+    texts = _pressed(keyed).repartition(n, "doc_id", "mark")
+    found = repeated(_anchor_rows(keyed, length), "gram").select("doc_id", F.col("place").bitwiseAND(_TEXT_BITS).alias("mark"), "gram", "place")
+    by_doc = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("x")).join(copies, ["doc_id", "mark"], "left_anti")
+    once = texts.join(by_doc.select("doc_id", "mark", F.col("x.gram").alias("grams"), F.col("x.place").alias("places")), ["doc_id", "mark"]).select("doc_id", "data", "grams", "places")
+    merged = _merge(_runs(once, parts, length).repartition("part").sortWithinPartitions("part"), length)
+    whole_copies = copies.where(F.col("n") >= length).select("doc_id", "mark", F.lit(0).cast("long").alias("first"), (F.col("n") - length).alias("last"))
+    spans = merged.unionByName(whole_copies).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("x")).select("doc_id", "mark", F.col("x.first").alias("firsts"), F.col("x.last").alias("lasts"))
+    whole = texts.join(spans, ["doc_id", "mark"], "left").select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "data", "firsts", "lasts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 rows = []
                 for data, firsts, lasts in zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    data = data.as_py()
+                    data = press.decompress(data.as_buffer())
                     kept, at, gone, n = [], 0, 0, 0
                     if firsts:
                         end = -1
