@@ -409,8 +409,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     parts = parts or 4 * n
     keyed = _keyed(docs, id_col, text_col)
     copies = materialize(_copies(keyed), "copies")
-    # one exchange of texts serves both joins below
-    texts = _pressed(keyed).repartition(n, "doc_id", "mark")
+    # one exchange of texts serves both joins below; the filter, always true, is what the planner adds to one of them
+    texts = _pressed(keyed).where("doc_id is not null and mark is not null").repartition(n, "doc_id", "mark")
     found = repeated(_anchor_rows(keyed, length), "gram").select("doc_id", F.col("place").bitwiseAND(_TEXT_BITS).alias("mark"), "gram", "place")
     by_doc = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("x")).join(copies, ["doc_id", "mark"], "left_anti")
     once = texts.join(by_doc.select("doc_id", "mark", F.col("x.gram").alias("grams"), F.col("x.place").alias("places")), ["doc_id", "mark"]).select("doc_id", "data", "grams", "places")
