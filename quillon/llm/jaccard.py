@@ -100,13 +100,25 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarra
     return np.unique(np.concatenate(out))
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens have each first byte, as 256 bytes; 255 stands for that many or more."""
+    return np.minimum(np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def possible(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets with these histograms can be linked: each byte's tokens share the lesser count at most."""
+    a, b = int(x.sum()), int(y.sum())
+    most = int(np.minimum(x, y).sum())
+    return 100 * most >= percent * (a + b - most) or bool((x == 255).any() or (y == 255).any())
+
+
 def _summaries(docs: DataFrame, size: int, block: int = 1 << 21, local_min: int = 6) -> DataFrame:
-    """A row a document (id, set size, fingerprint, sketches), and rows of tokens frequent within a task.
+    """A row a document (id, set size, fingerprint, sketches, histogram), and rows of tokens frequent within a task.
 
     Tokens are counted once for each first sketch in a task, so copies of one text do not make its
     tokens frequent.  Counts steer the order of tokens only; any order gives the same links.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("keys", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64()), ("hist", pa.binary())])
     rng = np.random.default_rng(7)
     salts = rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
@@ -117,14 +129,15 @@ def _summaries(docs: DataFrame, size: int, block: int = 1 << 21, local_min: int
             values, times = np.unique(np.concatenate(pool), return_counts=True) if pool else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             values, times = values[times >= local_min], times[times >= local_min]
             none = [None] * len(values)
-            return pa.RecordBatch.from_arrays([pa.array(none, schema.types[0]), pa.array(none, schema.types[1]), pa.array(none, schema.types[2]), pa.array(none, schema.types[3]), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(none, schema.types[0]), pa.array(none, schema.types[1]), pa.array(none, schema.types[2]), pa.array(none, schema.types[3]), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64)), pa.array(none, schema.types[6])], schema=schema)
 
         for batch in batches:
             for part, texts in binary_texts(batch, "text"):
-                n, fps, keys = [], [], []
+                n, fps, keys, hists = [], [], [], []
                 for text in texts:
                     tokens = shingle_set(text, size, memo)
                     n.append(len(tokens))
+                    hists.append(histogram(tokens))
                     fps.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                     own = [int(_mix(tokens ^ s).min().view(np.int64)) for s in salts] if len(tokens) else []
                     keys.append(own)
@@ -137,10 +150,10 @@ def _summaries(docs: DataFrame, size: int, block: int = 1 << 21, local_min: int
                             pool, pooled = [], 0
                             seen.clear()
                 none = pa.array([None] * len(n), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, schema.types[3]), none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(fps, pa.binary()), pa.array(keys, schema.types[3]), none, none, pa.array(hists, pa.binary())], schema=schema)
         yield frequent()
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, token long, times long")
+    return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, token long, times long, hist binary")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -155,8 +168,20 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tokens binary")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked.  Sets are made again for the documents in pairs only."""
+def verify(docs: DataFrame, pairs: DataFrame, hists: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked.
+
+    Histograms (id, hist) rule out nearly all pairs that are not: no linked pair fails that test.  Sets are
+    made again, for the documents of the other pairs only.
+    """
+    pairs = pairs.join(hists.select(F.col("id").alias("a"), F.col("hist").alias("hist_a")), "a").join(hists.select(F.col("id").alias("b"), F.col("hist").alias("hist_b")), "b")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [possible(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = materialize(pairs.select("a", "b", "hist_a", "hist_b").mapInArrow(screen, "a long, b long"), "screened")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "involved")
     sets = _sets(docs.join(small_side(ids), "doc_id", "left_semi"), size)
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
@@ -194,7 +219,7 @@ def similarity_groups(
        a class and sketch): this joins large groups of near copies by stars, without all their pairs.
     3. A second pass indexes prefixes (see ``signatures``, whose ``heavy`` is sorted).  Only index entries of different groups so far
        meet, so that no pair within a group is made and every link between groups is.  Sizes are compared
-       first; whole sets are verified.
+       first, then histograms of the sets; whole sets are verified.
     4. Groups come from alternating star rounds.  Only counts and the tokens counted as frequent (at most
        ``max_heavy``) reach the driver.
 
@@ -204,10 +229,11 @@ def similarity_groups(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_summaries(docs, size), "summaries")
-    own = rows.where("fp is not null").select("doc_id", "n", "fp", "keys")
+    own = rows.where("fp is not null").select("doc_id", "n", "fp", "keys", "hist")
     nodes = own.where("doc_id is not null and n > 0")
-    classes = nodes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n").alias("n"))
+    classes = nodes.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("n").alias("n"), F.any_value("hist").alias("hist"))
     classes = materialize(classes, "classes")
+    hists = classes.select(F.col("rep").alias("id"), "hist")
     # stars around the smallest id of each sketch
     keyed = classes.select("rep", "n", F.posexplode("keys").alias("k", "key"))
     leaders = keyed.groupBy("k", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -215,7 +241,7 @@ def similarity_groups(
         keyed.join(leaders, ["k", "key"]).where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("agree"))
         .where(F.col("agree") >= SKETCHES // 2).select("a", "b")
     )
-    first = components(verify(docs, materialize(stars, "stars"), size, percent))
+    first = components(verify(docs, stars, hists, size, percent))
     first = materialize(first, "first")
     groups = classes.select("rep", "n", "fp").join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n", "fp", F.coalesce("comp", "rep").alias("comp"))
     groups = materialize(groups, "groups")
@@ -240,7 +266,7 @@ def similarity_groups(
     right = mixed.select("sig", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("comp_a") < F.col("comp_b"))
     pairs = left.join(right, "sig").where(sized).select("a", "b").distinct()
-    links = verify(docs, materialize(pairs, "pairs"), size, percent)
+    links = verify(docs, pairs, hists, size, percent)
     of = groups.select("rep", "comp")
     over = links.join(of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = components(over).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
