@@ -156,6 +156,51 @@ def _summaries(docs: DataFrame, size: int, block: int = 1 << 21, local_min: int
     return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, token long, times long, hist binary")
 
 
+def _crowded(entries: DataFrame, percent: int) -> DataFrame:
+    """Possible pairs (a, b) of different groups among the entries of each signature that many share.
+
+    ``entries``: (sig, doc_id, comp, n, hist).  A signature's entries stream by in order; their histograms
+    (256 bytes each) are compared in memory, sizes first, and only pairs that may be linked come out.
+    """
+
+    def pairs(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        table = pa.Table.from_batches(rows)
+        ids, comp, n = (table.column(k).to_numpy() for k in (1, 2, 3))
+        order = np.argsort(n, kind="stable")
+        ids, comp, n = ids[order], comp[order], n[order]
+        hist = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, 256)[order]
+        full = (hist == 255).any(axis=1)
+        last = np.searchsorted(n, 100 * n // percent, "right")
+        for k in range(len(n)):
+            for start in range(k + 1, last[k], 4096):
+                at = np.arange(start, min(start + 4096, last[k]))
+                at = at[comp[at] != comp[k]]
+                if len(at):
+                    most = np.minimum(hist[at], hist[k]).sum(axis=1, dtype=np.int64)
+                    at = at[(100 * most >= percent * (n[k] + n[at] - most)) | full[at] | full[k]]
+                    if len(at):
+                        yield np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sigs = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(sigs[1:] != sigs[:-1]) + 1), len(sigs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if group and group[0].column(0)[0].as_py() != int(sigs[a]):
+                    for x, y in pairs(group):
+                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                    group = []
+                group.append(batch.slice(a, b - a))
+        if group:
+            for x, y in pairs(group):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return entries.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
@@ -211,6 +256,7 @@ def similarity_groups(
     percent: int = 80,
     heavy_min: int = 20,
     max_heavy: int = 100_000,
+    crowd: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups that links of ``percent`` / 100 Jaccard make.
 
@@ -219,7 +265,8 @@ def similarity_groups(
        a class and sketch): this joins large groups of near copies by stars, without all their pairs.
     3. A second pass indexes prefixes (see ``signatures``, whose ``heavy`` is sorted).  Only index entries of different groups so far
        meet, so that no pair within a group is made and every link between groups is.  Sizes are compared
-       first, then histograms of the sets; whole sets are verified.
+       first, then histograms of the sets; whole sets are verified.  Where more than ``crowd`` entries share a
+       signature, histograms are compared before any pair is made.
     4. Groups come from alternating star rounds.  Only counts and the tokens counted as frequent (at most
        ``max_heavy``) reach the driver.
 
@@ -260,12 +307,14 @@ def similarity_groups(
 
     entries = repeated(docs.where("doc_id is not null").mapInArrow(index, "sig long, doc_id long"), "sig")
     shared = materialize(entries, "entries").join(groups.select(F.col("rep").alias("doc_id"), "comp", "n"), "doc_id")
-    several = shared.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sig")
-    mixed = materialize(shared.join(several, "sig"), "mixed")
+    several = shared.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("sig", "many")
+    every = materialize(shared.join(several, "sig"), "mixed")
+    crowded = every.where(F.col("many") > crowd).join(hists.select(F.col("id").alias("doc_id"), "hist"), "doc_id").select("sig", "doc_id", "comp", "n", "hist")
+    mixed = every.where(F.col("many") <= crowd)
     left = mixed.select("sig", F.col("doc_id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
     right = mixed.select("sig", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
     sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("comp_a") < F.col("comp_b"))
-    pairs = left.join(right, "sig").where(sized).select("a", "b").distinct()
+    pairs = left.join(right, "sig").where(sized).select("a", "b").unionByName(_crowded(crowded, percent)).distinct()
     links = verify(docs, pairs, hists, size, percent)
     of = groups.select("rep", "comp")
     over = links.join(of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
