@@ -1,0 +1 @@
+"""Numerical analytics on DataFrames: tabulated functions, sparse algebra, networks, units and more."""
