@@ -180,9 +180,14 @@ def score_matches(found: list[tuple[str, int, bool]], lexicon: Lexicon) -> float
     return float(min(1.0, max(0.0, 1.0 - clear)))
 
 
-def _sketch(words: list[str]) -> int:
-    """Equal for most near copies of a text: the least hash of its 3-word windows."""
-    return min((xxhash.xxh3_64_intdigest(" ".join(w)) for w in zip(words, words[1:], words[2:], strict=False)), default=xxhash.xxh3_64_intdigest(" ".join(words))) >> 1
+_SKETCHES = 4
+
+
+def _sketches(words: list[str]) -> list[int]:
+    """Near copies share one of them at least, nearly always: least salted hashes of the 3-word windows."""
+    hashes = [xxhash.xxh3_64_intdigest(" ".join(w)) for w in zip(words, words[1:], words[2:], strict=False)] or [xxhash.xxh3_64_intdigest(" ".join(words))]
+    h = np.array(hashes, dtype=np.uint64)
+    return [int(((h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(1)) for salt in range(1, _SKETCHES + 1)]
 
 
 def fit(
@@ -194,13 +199,14 @@ def fit(
     label_col: str = "toxic",
     max_per_label: int = 6000,
     min_docs: int = 6,
+    min_share: float = 0.004,
     min_worth: float = 0.9,
-    max_terms: int = 5000,
+    max_terms: int = 1000,
 ) -> Lexicon:
     """Learn a lexicon from labelled rows, about ``max_per_label`` of each label at most.
 
-    Only ids, texts and labels are read.  Near copies count once (by a sketch of their windows).  A word or
-    stem enters if it stands in ``min_docs`` toxic texts or more and its smoothed share of toxic texts is
+    Only ids, texts and labels are read.  Near copies count once (by sketches of their windows).  A word or
+    stem enters if it stands in ``min_docs`` toxic texts and in ``min_share`` of them or more, and its smoothed share of toxic texts is
     ``min_worth`` or more.  Each (term, edits) then gets its worth from a second pass over the sample, so a
     misspelling that is an ordinary word elsewhere is worth little.  Without toxic rows nothing matches.
     """
@@ -212,10 +218,15 @@ def fit(
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [_sketch(_WORD.findall(x.lower())) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("text"), pa.array(found, pa.int64())], names=["id", "label", "text", "sketch"])
+            found = [_sketches(_WORD.findall(x.lower())) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), batch.column("text"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(_SKETCHES))], names=["id", "label", "text", *names])
 
-    sample = materialize(own.select("id", "label", "text").mapInArrow(sketches, "id long, label int, text string, sketch long").dropDuplicates(["sketch"]), "texts").repartition(6, "sketch")
+    names = [f"s{k}" for k in range(_SKETCHES)]
+    sample = own.select("id", "label", "text").mapInArrow(sketches, "id long, label int, text string, " + ", ".join(f"{c} long" for c in names))
+    # of rows that share a sketch the least id stays, sketch after sketch
+    for c in names:
+        sample = sample.groupBy(c).agg(F.min_by(F.struct("id", "label", "text", *[x for x in names if x != c]), "id").alias("r")).select(c, "r.*")
+    sample = materialize(sample.select("id", "label", "text"), "texts").repartition(6, "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -235,7 +246,7 @@ def fit(
     weight = toxic / max(clean, 1)
     terms = (
         sample.select("label", "text").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= min_docs) & (F.col("toxic") >= min_worth * (F.col("toxic") + F.col("clean") * weight + 0.5)))
+        .where((F.col("toxic") >= max(min_docs, min_share * toxic)) & (F.col("toxic") >= min_worth * (F.col("toxic") + F.col("clean") * weight + 0.5)))
         .orderBy(F.desc("toxic"), "term").limit(max_terms).collect()
     )
     # a stem that one word makes up nearly alone gives way to that word
@@ -271,8 +282,8 @@ def fit(
     for term in (*lexicon.words, *lexicon.stems):
         exact = 0.0
         for edits in range(Lexicon.edits(term) + 1 if term in set(lexicon.words) else 1):
-            t, c = n.get((term, edits, 1), 0), n.get((term, edits, 0), 0) * weight
-            # a misspelling not seen in the sample is worth a little less than the word itself
+            t, c = n.get((term, edits, 1), 0), n.get((term, edits, 0), 0) * (1.0 if edits else weight)
+            # a misspelling not seen in the sample is worth a little less than the word itself, one seen in a clean text much less
             lexicon.worth[term, edits] = (t + 2.0 * exact * 0.9) / (t + c + 2.0) if edits else (t + 0.5) / (t + c + 1.0)
             exact = lexicon.worth[term, 0]
     return lexicon
