@@ -22,7 +22,7 @@ class _Hashes(dict):
     """64-bit hashes of words, each computed once while it is remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -112,7 +112,7 @@ def possible(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * most >= percent * (a + b - most) or bool((x == 255).any() or (y == 255).any())
 
 
-def _summaries(docs: DataFrame, size: int, block: int = 1 << 21, local_min: int = 6) -> DataFrame:
+def _summaries(docs: DataFrame, size: int, block: int = 1 << 20, local_min: int = 6) -> DataFrame:
     """A row a document (id, set size, fingerprint, sketches, histogram), and rows of tokens frequent within a task.
 
     Tokens are counted once for each first sketch in a task, so copies of one text do not make its

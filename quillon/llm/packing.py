@@ -108,7 +108,10 @@ def _encoder(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def plain() -> Tokenizer:  # loaded only where a text needs it
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     added = [x["content"] for x in spec.get("added_tokens", [])]
@@ -122,7 +125,7 @@ def _encoder(path: str):
     def encode(text: str) -> list[int]:
         if _COMMON.fullmatch(text) and not any(x in text for x in added):
             return fast.encode_ordinary(text)
-        return plain.encode(text, add_special_tokens=False).ids
+        return plain().encode(text, add_special_tokens=False).ids
 
     return encode
 
