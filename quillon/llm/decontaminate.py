@@ -220,7 +220,7 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda k: F.array(F.element_at("spans", (2 * k + 1).cast("int")), F.element_at("spans", (2 * k + 2).cast("int"))))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.array(F.element_at("spans", (2 * k + 1).cast("int")), F.element_at("spans", (2 * k + 2).cast("int"))))
     merged = merged.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<array<bigint>>")))
     grouped = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
