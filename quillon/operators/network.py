@@ -8,11 +8,14 @@ heat; g), radiation (a, b; area, emissivity), convection (wall, fluid; cp, h or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.grouped import dealt, groups
 from quillon.operators.solvers import Coo, conjugate_gradient, least_squares
 
 MECHANICAL, HYDRAULIC, THERMAL = "MECHANICAL", "HYDRAULIC", "THERMAL"
@@ -63,53 +66,50 @@ def assemble(nodes: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFr
 class _Model:
     """One model in memory: node places, current values, and components as arrays by type."""
 
-    def __init__(self, nodes: pd.DataFrame, components: pd.DataFrame) -> None:
-        nodes = nodes.sort_values(["seq", "node_id"], kind="stable")
-        if nodes.duplicated(["node_id", "domain"]).any():
-            raise ValueError("a node stands twice in a domain")
+    def __init__(self, nodes: list[tuple], components: list[tuple]) -> None:
+        """``nodes``: (node_id, domain, kind, fixed_value, init_value); ``components``: (comp_id, domain, type, ports, params)."""
         self.place: dict[str, dict[str, int]] = {}
         self.values: dict[str, np.ndarray] = {}
         self.fixed: dict[str, np.ndarray] = {}
-        self.frames: dict[str, pd.DataFrame] = {}
         for domain in DOMAINS:
-            own = nodes[nodes.domain == domain]
-            if len(own):
-                self.place[domain] = {n: k for k, n in enumerate(own.node_id)}
-                self.fixed[domain] = (own.kind == "fixed").to_numpy()
-                given = np.where(self.fixed[domain], own.fixed_value.fillna(0.0), own.init_value.fillna(0.0))
-                self.values[domain] = given.astype(float)
-                self.frames[domain] = own
+            own = [x for x in nodes if x[1] == domain]
+            if own:
+                self.place[domain] = {x[0]: k for k, x in enumerate(own)}
+                if len(self.place[domain]) < len(own):
+                    raise ValueError("a node stands twice in a domain")
+                self.fixed[domain] = np.array([x[2] == "fixed" for x in own])
+                self.values[domain] = np.array([(x[3] if x[2] == "fixed" else x[4]) or 0.0 for x in own], dtype=float)
         self.links: dict[str, list] = {d: [] for d in DOMAINS}
         self.sources: dict[str, list] = {d: [] for d in DOMAINS}
         self.gears, self.dampers, self.radiation, self.convection = [], [], [], []
-        for c in components.sort_values("seq", kind="stable").itertuples():
-            params, ports = dict(c.params), list(c.ports)
+        for comp_id, on, kind, ports, params in components:
+            params = dict(params or ())
             at = lambda port, domain: self.place[domain][port]
-            domain = c.domain if c.type in ("link", "source") else {"gear": MECHANICAL, "damper": MECHANICAL}.get(c.type, THERMAL)
-            if domain not in self.place and not (c.type == "damper" and THERMAL in self.place):
+            domain = on if kind in ("link", "source") else {"gear": MECHANICAL, "damper": MECHANICAL}.get(kind, THERMAL)
+            if domain not in self.place and not (kind == "damper" and THERMAL in self.place):
                 continue
             try:
-                if c.type == "link":
+                if kind == "link":
                     self.links[domain].append((at(ports[0], domain), at(ports[1], domain), params["g"]))
-                elif c.type == "source":
+                elif kind == "source":
                     self.sources[domain].append((at(ports[0], domain), params["q"]))
-                elif c.type == "gear":
+                elif kind == "gear":
                     self.gears.append((*(at(p, domain) for p in ports[:3]), params["r"]))
-                elif c.type == "damper":
+                elif kind == "damper":
                     if params["g"] <= 0:
                         raise ValueError("a damper's conductance is above 0")
                     self.dampers.append((at(ports[0], MECHANICAL), at(ports[1], MECHANICAL), at(ports[2], THERMAL) if THERMAL in self.place and len(ports) > 2 else -1, params["g"]))
-                elif c.type == "radiation":
+                elif kind == "radiation":
                     self.radiation.append((at(ports[0], THERMAL), at(ports[1], THERMAL), SIGMA * params["emissivity"] * params["area"]))
-                elif c.type == "convection":
+                elif kind == "convection":
                     flow = at(ports[1], HYDRAULIC) if HYDRAULIC in self.place else -1
                     self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), flow, params["cp"], params.get("h0", params.get("h", 0.0)), params.get("h1", 0.0)))
-                elif c.type == "advection":
+                elif kind == "advection":
                     self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), (at(ports[0], HYDRAULIC), at(ports[1], HYDRAULIC)), params["cp"] * params["g"], 0.0, 0.0))
                 else:
-                    raise ValueError(f"unknown component type {c.type}")
+                    raise ValueError(f"unknown component type {kind}")
             except KeyError as missing:
-                raise ValueError(f"component {c.comp_id} needs {missing} in its domain") from None
+                raise ValueError(f"component {comp_id} needs {missing} in its domain") from None
 
     def system(self, domain: str) -> tuple[Coo, np.ndarray, bool]:
         """(matrix, right-hand side, whether the free rows are symmetric) from the current values."""
@@ -220,28 +220,42 @@ def steady_state(nodes: DataFrame, components: DataFrame, *, method: str = "auto
     gradient where stamps are symmetric, a direct solve with gears or advection, least squares where the
     system is singular.  ``cgnr`` is least squares on the whole system with ``inner`` steps at most.
     """
-    left = nodes.select(F.col("model_id").cast("string").alias("model_id"), "node_id", "domain", "kind", F.col("fixed_value").cast("double").alias("fixed_value"), F.col("init_value").cast("double").alias("init_value"), F.col("seq").cast("long").alias("seq"))
-    right = components.select(F.col("model_id").cast("string").alias("model_id"), "comp_id", "type", "ports", "params", "domain", F.col("seq").cast("long").alias("seq"))
-
-    def run(key: tuple, own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            raise ValueError(f"model {key[0]} has components and no nodes")
-        model = _Model(own, parts)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    left = nodes.select(text("model_id"), F.lit(0).alias("part"), F.col("seq").cast("long").alias("seq"), F.col("node_id").alias("name"), "domain", F.col("kind").alias("type"), none("array<string>", "ports"), none("map<string,double>", "params"), F.col("fixed_value").cast("double").alias("fixed_value"), F.col("init_value").cast("double").alias("init_value"))
+    right = components.select(text("model_id"), F.lit(1).alias("part"), F.col("seq").cast("long").alias("seq"), F.col("comp_id").alias("name"), "domain", "type", "ports", F.col("params").cast("map<string,double>").alias("params"), none("double", "fixed_value"), none("double", "init_value"))
+    schema = pa.schema([("model_id", pa.string()), ("node_id", pa.string()), ("domain", pa.string()), ("value", pa.float64()), ("outer_iters", pa.int32()), ("converged", pa.bool_()), ("residual", pa.float64())])
+
+    def solve(key: str | None, columns: list) -> list[tuple]:
+        part, _, name, domain, kind, ports, params, fixed, init = columns
+        n = sum(x == 0 for x in part)  # nodes come first
+        if not n:
+            raise ValueError(f"model {key} has components and no nodes")
+        model = _Model(list(zip(name[:n], domain[:n], kind[:n], fixed[:n], init[:n], strict=True)), list(zip(name[n:], domain[n:], kind[n:], ports[n:], params[n:], strict=True)))
         moved, rounds = np.inf, 0
         while rounds < outer and moved >= tol:
             rounds += 1
             new = {d: _solve_domain(model, d, method, inner, tol) for d in model.values}
-            moved = max(float(np.abs(new[d] - model.values[d]).max()) for d in new)
+            moved = max((float(np.abs(new[d] - model.values[d]).max()) for d in new), default=0.0)
             model.values = {d: np.where(model.fixed[d], model.values[d], v) for d, v in new.items()}
         rest = 0.0
-        for domain in model.values:
-            a, b, _ = model.system(domain)
-            rest = max(rest, float(np.abs(a.times(model.values[domain]) - b).max()))
-        frames = [f.assign(value=model.values[d]) for d, f in model.frames.items()]
-        out = pd.concat(frames)[["node_id", "domain", "value"]]
-        return out.assign(model_id=key[0], outer_iters=np.int32(rounds), converged=bool(moved < tol), residual=rest)[["model_id", "node_id", "domain", "value", "outer_iters", "converged", "residual"]]
-
-    return left.groupBy("model_id").cogroup(right.groupBy("model_id")).applyInPandas(run, _RESULT)
+        for d in model.values:
+            a, b, _ = model.system(d)
+            rest = max(rest, float(np.abs(a.times(model.values[d]) - b).max()))
+        return [(key, node, d, value, rounds, moved < tol, rest) for d in model.values for node, value in zip(model.place[d], model.values[d].tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, columns in groups(batches, pa.Array.to_pylist):
+            out += solve(key, columns)
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+
+    rows = dealt(left.unionByName(right), "model_id", "part", F.asc_nulls_last("seq"), "name")
+    return rows.mapInArrow(run, _RESULT)
 
 
 def plate_links(layers: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import matrix as m
+from quillon.operators.grouped import dealt, groups
 
 
 @dataclass
@@ -122,34 +124,54 @@ def solve_batch(a: DataFrame, b: DataFrame, dims: DataFrame, *, method: str = "l
         rows = rows.unionByName(part)
     rows = rows.select(F.col("matrix_id").cast("string").alias("matrix_id"), "kind", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("value").cast("double").alias("value"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        size = pdf[pdf.kind == 3]
+    def solve(key: str | None, columns: list[np.ndarray]) -> tuple[np.ndarray, int, float]:
+        kind, row, col, value = columns
+        size = np.flatnonzero(kind == 3)
         if len(size) != 1:
-            raise ValueError(f"matrix {key[0]} needs its dimensions once")
-        n_rows, n_cols = int(size.row.iloc[0]), int(size.col.iloc[0])
-        cells = pdf[pdf.kind == 0]
-        coo = Coo(cells.row.to_numpy(), cells.col.to_numpy(), cells.value.to_numpy(), n_rows, n_cols)
-
-        def vector(kind: int, n: int) -> np.ndarray | None:
-            own = pdf[pdf.kind == kind].sort_values("row")
-            if kind == 2 and not len(own):
+            raise ValueError(f"matrix {key} needs its dimensions once")
+        n_rows, n_cols = int(row[size[0]]), int(col[size[0]])
+        cells = kind == 0
+        coo = Coo(row[cells], col[cells], value[cells], n_rows, n_cols)
+
+        def vector(which: int, n: int) -> np.ndarray | None:
+            own = kind == which
+            if which == 2 and not own.any():
                 return None
-            if len(own) and own.row.max() >= n:
-                raise ValueError(f"vector of matrix {key[0]} is longer than {n}")
-            return np.bincount(own.row, own.value, n)
+            if own.any() and row[own].max() >= n:
+                raise ValueError(f"vector of matrix {key} is longer than {n}")
+            return np.bincount(row[own], value[own], n)
 
         rhs, start = vector(1, n_rows), vector(2, n_cols)
         if method == "cg":
-            x, done, left = conjugate_gradient(coo, rhs, most=most, tol=tol, guess=start, strict=strict)
-        elif method == "pcg":
-            x, done, left = conjugate_gradient(coo, rhs, most=most, tol=tol, guess=start, jacobi=True)
-        elif method == "least_squares":
-            x, done, left = least_squares(coo, rhs, most=most, tol=tol, guess=start)
-        else:
-            raise ValueError(f"unknown method {method}")
-        return pd.DataFrame({"matrix_id": key[0], "idx": np.arange(n_cols, dtype=np.int32), "value": x, "iterations": np.int32(done), "residual": left, "converged": bool(left < tol)})
-
-    return rows.groupBy("matrix_id").applyInPandas(run, _OUT)
+            return conjugate_gradient(coo, rhs, most=most, tol=tol, guess=start, strict=strict)
+        if method == "pcg":
+            return conjugate_gradient(coo, rhs, most=most, tol=tol, guess=start, jacobi=True)
+        if method == "least_squares":
+            return least_squares(coo, rhs, most=most, tol=tol, guess=start)
+        raise ValueError(f"unknown method {method}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("matrix_id", pa.string()), ("idx", pa.int32()), ("value", pa.float64()), ("iterations", pa.int32()), ("residual", pa.float64()), ("converged", pa.bool_())])
+        out: list[tuple] = []
+        waiting = 0
+
+        def flushed() -> pa.RecordBatch:
+            many = np.array([len(x) for _, x, _, _ in out])
+            keys = pa.array([k for k, *_ in out], pa.string()).take(pa.array(np.repeat(np.arange(len(out)), many)))
+            left = np.repeat([r for *_, r in out], many)
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in many])), pa.array(np.concatenate([x for _, x, _, _ in out])), pa.array(np.repeat([d for _, _, d, _ in out], many).astype(np.int32)), pa.array(left.astype(float)), pa.array(left < tol)], schema=schema)
+
+        for key, columns in groups(batches, lambda c: c.to_numpy(zero_copy_only=False)):
+            x, done, left = solve(key, columns)
+            out.append((key, x, done, left))
+            waiting += len(x)
+            if waiting >= 10_000:
+                yield flushed()
+                out, waiting = [], 0
+        if out:
+            yield flushed()
+
+    return dealt(rows, "matrix_id", "kind", "row", "col").mapInArrow(run, _OUT)
 
 
 def solve_distributed(a: DataFrame, b: DataFrame, dims: DataFrame, *, most: int = 100, tol: float = 1e-8) -> DataFrame:
