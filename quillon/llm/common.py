@@ -47,6 +47,19 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def named(column: str) -> Column:
+    """The column of just that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns of our own that ``df`` does not have, in any case of letters."""
+    had, lead = {c.lower() for c in df.columns}, "__ql_"
+    while any(lead + x in had for x in wanted):
+        lead += "_"
+    return [lead + x for x in wanted]
+
+
 def fold(bucket: Column | str, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus`` (null stays null)."""
     return F.crc32(F.col(bucket).cast("string") if isinstance(bucket, str) else bucket) % modulus

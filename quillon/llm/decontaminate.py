@@ -244,16 +244,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     Rows are handled one by one, block after block, with no shuffle.  Texts without a hit stay as they
     are, byte for byte; null texts stay null; an empty benchmark changes nothing.  Columns are kept.
     """
-    out = docs
-    kind = pa.string()
+    out, names = docs, docs.columns
+    plain = [f"c{k}" for k in range(len(names))]  # a name with a dot cannot go to Python
+    at = names.index(text_col)
     for auto in automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes):
         shipped = docs.sparkSession.sparkContext.broadcast(auto)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             auto = shipped.value
             for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                for part, texts in binary_texts(batch, text_col):
+                for part, texts in binary_texts(batch, plain[at]):
                     keep, new = [], []
                     for text in texts:
                         words = words_of(text)
@@ -262,8 +262,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
                         keep.append(not hit or hit <= max_coverage * len(words))
                         new.append(clean(text, auto) if hit else text)
                     columns = [*part.columns]
-                    columns[at] = pa.array(new, pa.binary()).cast(kind)
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep))
+                    columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.toDF(*plain).mapInArrow(run, docs.schema)
     return out

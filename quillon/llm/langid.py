@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample
+from quillon.llm.common import bounded_sample, free_names, named
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -116,11 +116,12 @@ def score_text(text: str | None, model: LanguageModel, evidence: int = 60) -> tu
     return model.langs[best], float(weights[best] / weights.sum())
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; the matrix (bounded by its bits and languages) is broadcast.
 
     Whole texts are read, in chunks of bounded size.  Null or letterless texts give ``und`` and 0; an
-    empty table stays empty; each row stands for itself, so ties and repeated rows need no rule.
+    empty table stays empty; each row stands for itself, so ties and repeated rows need no rule; other
+    columns stay, but for those named like the two new ones.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -129,6 +130,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
         found = [score_text(x, shipped.value) for x in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    keep = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "__ql_lid")]
-    scored = docs.withColumn("__ql_lid", predict(F.col(text_col)))
-    return scored.select(*keep, F.col("__ql_lid.lang_pred").alias("lang_pred"), F.col("__ql_lid.score").alias("score"))
+    own = free_names(docs, "lid")[0]
+    keep = [named(c) for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    scored = docs.withColumn(own, predict(named(text_col)))
+    return scored.select(*keep, F.col(f"{own}.lang_pred").alias(lang_out), F.col(f"{own}.score").alias(score_out))

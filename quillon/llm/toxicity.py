@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import bounded_sample, materialize
+from quillon.llm.common import bounded_sample, free_names, materialize, named
 
 _WORD = re.compile(r"\w+")
 _QUOTES = re.compile(r"[\"“”„«»‟]")
@@ -293,7 +293,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", score_co
     """``docs`` with ``score`` and ``n_matches``; null and empty texts get the base share.
 
     The lexicon (bounded by ``max_terms``) is broadcast; rows are scored one by one, whole; an empty
-    table stays empty.
+    table stays empty; other columns stay, but for those named like the two new ones.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -304,6 +304,7 @@ def score(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", score_co
             found = [matcher.matches(x) if x else [] for x in texts]
             yield pd.DataFrame({"score": np.array([score_matches(x, shipped.value) for x in found], dtype=float), "n_matches": np.array([len(x) for x in found], dtype=np.int64)})
 
-    keep = [F.col(c) for c in docs.columns if c not in (score_col, "n_matches", "__ql_tox")]
-    scored = docs.withColumn("__ql_tox", run(F.col(text_col)))
-    return scored.select(*keep, F.col("__ql_tox.score").alias(score_col), F.col("__ql_tox.n_matches").alias("n_matches"))
+    own = free_names(docs, "tox")[0]
+    keep = [named(c) for c in docs.columns if c.lower() not in (score_col.lower(), "n_matches")]
+    scored = docs.withColumn(own, run(named(text_col)))
+    return scored.select(*keep, F.col(f"{own}.score").alias(score_col), F.col(f"{own}.n_matches").alias("n_matches"))
