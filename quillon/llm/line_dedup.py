@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, UPPER
+from quillon.llm.common import LOWER, UPPER, free_names, materialize, named, small_side
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -23,6 +23,8 @@ def dedup_lines(
     min_chars: int = 40,
     min_docs: int = 5,
     keep_last: bool = True,
+    hot_docs: int = 1000,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
     """Drop every line whose key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more.
 
@@ -31,17 +33,18 @@ def dedup_lines(
 
     Lines are exploded as 128-bit key hashes (two salted 64-bit hashes), never as text.  A key is counted
     once a document; the count is a plain aggregate with map-side combine, so one key that a third of
-    the rows hold costs one row a task.  Texts are shuffled once, to meet their own dropped positions.
+    the rows hold costs one row a task.  Keys of ``hot_docs`` documents or more are met in place (their
+    table is broadcast if its counted rows allow it) and their rows are then dealt by id, so no key's rows
+    land in one task.  Texts are shuffled once, to meet their own dropped positions.
 
     Defined cases: a null text is one empty line and gives an empty text; each row is a document, rows
     that repeat id and text share one decision and count each; a null id sorts before all others;
-    an empty table gives an empty table; other columns are kept whatever their names.
+    an empty table gives an empty table; other columns are kept whatever their names, but for
+    those named as ``counts`` (in any case of letters), which are replaced.
     """
-    own = {"__ql_text", "__ql_id", "__ql_th", "__ql_drop"}
-    if own & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(own & set(docs.columns))}")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    own_text, own_id, own_th, own_drop = free_names(docs, "text", "id", "th", "drop")
+    text = F.coalesce(named(text_col), F.lit(""))
+    base = docs.select(named(id_col).alias("id"), text.alias("text"))
     keys = F.transform(
         F.split("text", "\n", -1),
         lambda line: F.when(F.length(line) >= min_chars, line_key(line)),
@@ -59,21 +62,26 @@ def dedup_lines(
         once.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "n", "keeper")
     )
+    shared = materialize(shared, "shared-lines")
+    hot = small_side(shared.where(F.col("n") >= hot_docs).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("n").alias("hot_n"), F.col("keeper").alias("hot_keeper")))
     placed = lines.select("id", "th", F.explode("lines").alias("x")).select("id", "th", "x.at", "x.h1", "x.h2")
-    met = placed.join(shared, ["h1", "h2"])
+    placed = placed.join(hot, (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
+    # rows of a hot key have met it and go anywhere
+    dealt = placed.withColumn("h1", F.when(F.col("hot_n").isNotNull(), F.xxhash64("id", "th", "at")).otherwise(F.col("h1")))
+    met = dealt.join(shared.where(F.col("n") < hot_docs), ["h1", "h2"], "left").where(F.col("hot_n").isNotNull() | F.col("n").isNotNull())
     if keep_last:
-        met = met.where(~F.col("id").eqNullSafe(F.col("keeper")))
-    drops = met.groupBy("id", "th").agg(F.collect_set("at").alias("__ql_drop")).select(F.col("id").alias("__ql_id"), F.col("th").alias("__ql_th"), "__ql_drop")
-    whole = docs.withColumn("__ql_text", text)
-    joined = whole.join(drops, F.col(id_col).eqNullSafe(F.col("__ql_id")) & (F.xxhash64("__ql_text") == F.col("__ql_th")), "left")
-    split = F.split("__ql_text", "\n", -1)
+        met = met.where(~F.col("id").eqNullSafe(F.when(F.col("hot_n").isNotNull(), F.col("hot_keeper")).otherwise(F.col("keeper"))))
+    drops = met.groupBy("id", "th").agg(F.collect_set("at").alias(own_drop)).select(F.col("id").alias(own_id), F.col("th").alias(own_th), own_drop)
+    whole = docs.withColumn(own_text, text)
+    joined = whole.join(drops, named(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(own_text) == F.col(own_th)), "left")
+    split = F.split(own_text, "\n", -1)
     stay = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__ql_drop")),
+        F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(own_drop)),
         lambda at: F.element_at(split, at + 1),
     )
-    kept = F.when(F.col("__ql_drop").isNull(), F.col("__ql_text")).otherwise(F.array_join(stay, "\n"))
-    out = {text_col: kept, "n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size("__ql_drop"), F.lit(0)).cast("long")}
-    names = [F.col(c) for c in docs.columns if c not in out]
+    kept = F.when(F.col(own_drop).isNull(), F.col(own_text)).otherwise(F.array_join(stay, "\n"))
+    out = {text_col: kept, counts[0]: F.size(split).cast("long"), counts[1]: F.coalesce(F.size(own_drop), F.lit(0)).cast("long")}
+    names = [named(c) for c in docs.columns if c.lower() not in {k.lower() for k in out}]
     return joined.select(*names, *(v.alias(k) for k, v in out.items()))
