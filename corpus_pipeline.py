@@ -12,32 +12,36 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate as clean
 from quillon.llm import jaccard, langid, line_dedup, packing
-from quillon.llm.common import fold, materialize, small_side
+from quillon.llm.common import fold, free_names, materialize, named, small_side
 from quillon.llm.queries import tokenizer_path
 
 
 def _documents(like: DataFrame, rows: DataFrame) -> DataFrame:
     """The columns of ``like``; n_chars, if there, counts the text's code points."""
-    return rows.select(*(F.coalesce(F.length("text"), F.lit(0)).cast(dict(like.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in like.columns))
+    return rows.select(*(F.coalesce(F.length("text"), F.lit(0)).cast(dict(like.dtypes)[c]).alias(c) if c == "n_chars" else named(c) for c in like.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
-    found = langid.identify(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    lang, score = free_names(docs, "lang", "score")
+    found = langid.identify(docs, model, lang_out=lang, score_out=score)
+    return found.where(F.col(lang) != langid.UNDETERMINED).select(*map(named, docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines that five documents or more share stay in the last of them only."""
-    return _documents(docs, line_dedup.dedup_lines(docs, min_chars=40, min_docs=5))
+    return _documents(docs, line_dedup.dedup_lines(docs, min_chars=40, min_docs=5, counts=tuple(free_names(docs, "n_lines", "n_dropped"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 4-word shingles at 0.85 make, the smallest doc_id stays."""
+    """Of each group that links of 4-word shingles at 0.85 make, the smallest doc_id stays.
+
+    Rows that repeat an id are one document; rows with a null id link with nothing and stay.
+    """
     groups = jaccard.similarity_groups(docs, size=4, percent=85)
     gone = materialize(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*map(named, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
