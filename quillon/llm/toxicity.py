@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -54,6 +55,24 @@ class LevenshteinAutomaton:
         return state[-1][1] if state and state[-1][0] == len(self.word) else None
 
 
+def left_by(word: str, most: int) -> set[str]:
+    """What is left of a word with up to ``most`` letters out."""
+    out = now = {word}
+    for _ in range(most):
+        now = {w[:k] + w[k + 1 :] for w in now for k in range(len(w))}
+        out = out | now
+    return out
+
+
+def chance(toxic: int, clean: int, share: float) -> float:
+    """How likely a term without a bearing on labels stands in ``toxic`` toxic texts or more of all it is in."""
+    n = toxic + clean
+    if not 0.0 < share < 1.0:
+        return share
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(1 - share) + (n - k) * math.log(share) for k in range(clean + 1)]
+    return min(1.0, math.fsum(map(math.exp, logs)))
+
+
 @dataclass
 class Lexicon:
     """Whole words and stems, the evidence each match carries, and what a text without any is worth."""
@@ -82,7 +101,7 @@ class Lexicon:
         return root
 
     @cached_property
-    def parts(self) -> set[tuple[str, int]]:
+    def parts(self) -> set[str]:
         """Pieces of lexicon words, one more than its edits each: a match leaves one of them whole."""
         out = set()
         for word in self.words:
@@ -96,18 +115,27 @@ class Lexicon:
         return tuple(sorted({len(x) for x in self.parts}))
 
     @cached_property
-    def reach(self) -> tuple[int, int]:
-        return min((len(w) - self.edits(w) for w in self.words), default=0), max((len(w) + self.edits(w) for w in self.words), default=-1)
+    def rests(self) -> list[tuple[int, int, int, set[str]]]:
+        """For each number of edits: shortest and longest word in reach, and what lexicon words leave with so many letters out.
+
+        Two words that so many edits part leave a string in common, so no match fails this screen.
+        """
+        out = []
+        for edits in range(3):
+            own = [w for w in self.words if self.edits(w) == edits]
+            if own:
+                out.append((edits, min(map(len, own)) - edits, max(map(len, own)) + edits, set().union(*(left_by(w, edits) for w in own))))
+        return out
 
     def lookup(self, word: str) -> tuple[str, int] | None:
         """The closest lexicon term of a word: a stem it begins with, or a word within its edits."""
         for n in STEMS:
             if word[:n] in self._stems and len(word) >= n:
                 return word[:n], 0
-        low, high = self.reach
-        if not low <= len(word) <= high:
+        near = [x for x in self.rests if x[1] <= len(word) <= x[2]]
+        if not near or not any(word[k : k + n] in self.parts for n in self.part_lengths for k in range(len(word) - n + 1)):
             return None
-        if not any(word[k : k + n] in self.parts for n in self.part_lengths for k in range(len(word) - n + 1)):
+        if all(left_by(word, edits).isdisjoint(rests) for edits, _, _, rests in near):
             return None
         best: tuple[int, str] | None = None
         auto = LevenshteinAutomaton(word, 2)
@@ -199,16 +227,16 @@ def fit(
     label_col: str = "toxic",
     max_per_label: int = 6000,
     min_docs: int = 6,
-    min_share: float = 0.004,
     min_worth: float = 0.9,
-    max_terms: int = 1000,
+    false_terms: float = 0.05,
 ) -> Lexicon:
     """Learn a lexicon from labelled rows, about ``max_per_label`` of each label at most.
 
     Only ids, texts and labels are read.  Near copies count once (by sketches of their windows).  A word or
-    stem enters if it stands in ``min_docs`` toxic texts and in ``min_share`` of them or more, and its smoothed share of toxic texts is
-    ``min_worth`` or more.  Each (term, edits) then gets its worth from a second pass over the sample, so a
-    misspelling that is an ordinary word elsewhere is worth little.  Without toxic rows nothing matches.
+    stem enters if it stands in ``min_docs`` toxic texts or more, its smoothed share of toxic texts is ``min_worth`` or more and
+    that is no chance: tested against the sample's share of toxic texts, with about ``false_terms`` of the terms that enter
+    false (Benjamini and Hochberg).  Their number has no bound but what the sample holds.  Each (term, edits) then gets its worth from a second pass over the sample, so a
+    misspelling that is an ordinary word elsewhere is worth little.  Without toxic rows, or without clean ones, nothing matches.
     """
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     picked = bounded_sample(picked.groupBy("id").agg(F.max("label").alias("label")), "id", max_per_label, by="label")
@@ -244,11 +272,13 @@ def fit(
         return Lexicon()
     # the sample's labels are dealt otherwise than the corpus's: shares are taken at equal weights
     weight = toxic / max(clean, 1)
-    terms = (
-        sample.select("label", "text").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= max(min_docs, min_share * toxic)) & (F.col("toxic") >= min_worth * (F.col("toxic") + F.col("clean") * weight + 0.5)))
-        .orderBy(F.desc("toxic"), "term").limit(max_terms).collect()
-    )
+    counts = materialize(sample.select("label", "text").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") + F.col("clean") >= min_docs), "terms")
+    tested = counts.count()
+    terms = counts.where((F.col("toxic") >= min_docs) & (F.col("toxic") >= min_worth * (F.col("toxic") + F.col("clean") * weight + 0.5))).collect()
+    ranked = sorted((chance(r.toxic, r.clean, toxic / (toxic + clean)), r.term) for r in terms)
+    level = max((p for k, (p, _) in enumerate(ranked, 1) if p <= false_terms * k / tested), default=-1.0)
+    passed = {term for p, term in ranked if p <= level}
+    terms = [r for r in terms if r.term in passed]
     # a stem that one word makes up nearly alone gives way to that word
     led = {}
     for r in terms:
@@ -292,7 +322,7 @@ def fit(
 def score(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score`` and ``n_matches``; null and empty texts get the base share.
 
-    The lexicon (bounded by ``max_terms``) is broadcast; rows are scored one by one, whole; an empty
+    The lexicon (bounded by the sample it is learned from) is broadcast; rows are scored one by one, whole; an empty
     table stays empty; other columns stay, but for those named like the two new ones.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(lexicon)

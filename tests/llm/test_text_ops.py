@@ -173,6 +173,23 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.where("false")).words == ()
 
 
+def test_toxicity_learns_every_pure_term(spark):
+    rng = random.Random(5)
+    bad = sorted({"".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(1200)})
+    dealt = [w for w in bad for _ in range(10)]
+    rng.shuffle(dealt)
+    rows = [(k, prose(k, 40) + " " + " ".join(dealt[k // 2 :: 1200]) * (k % 2)) for k in range(2400)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(k, k % 2) for k in range(2400)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    held = [sum(w in t.split() for t in (x for k, x in rows if k % 2)) for w in bad[:20]]
+    assert min(held) >= 6 and not [w for w in bad if lexicon.lookup(w) is None]
+    # the screen of words lets every match through
+    fixed = toxicity.Lexicon(words=tuple(bad[:40]))
+    for w in bad[:40]:
+        k = rng.randrange(8)
+        assert all(fixed.lookup(x) == (w, 1) for x in (w[:k] + w[k + 1 :], w[:k] + "a" + w[k:], w[:k] + "a" + w[k + 1 :]))
+
+
 # ---- licences ----
 
 
