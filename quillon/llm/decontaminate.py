@@ -10,8 +10,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from quillon.llm.common import binary_texts
+from quillon.llm.common import binary_texts, materialize
 
 #: A-Z to lower case; every other ASCII byte that is no digit or lower-case letter to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -241,29 +242,87 @@ def items_digest(items: list[str]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.8, block_bytes: int = 8_000_000) -> DataFrame:
     """``docs`` without benchmark spans; a document of which more than ``max_coverage`` of its words were hit goes.
 
-    Rows are handled one by one, block after block, with no shuffle.  Texts without a hit stay as they
-    are, byte for byte; null texts stay null; an empty benchmark changes nothing.  Columns are kept.
+    Rows are handled one by one, with no shuffle.  With several blocks each row takes the spans of all of
+    them along, found on the same text; coverage is judged on their union, which is cut at once, and texts
+    that were cut are scanned by all blocks again until none hits: the result is that of one block.
+    Texts without a hit stay as they are, byte for byte; null texts stay null; an empty benchmark changes
+    nothing.  Columns are kept; rows that repeat an id, or have none, stay apart.
     """
-    out, names = docs, docs.columns
+    names = docs.columns
     plain = [f"c{k}" for k in range(len(names))]  # a name with a dot cannot go to Python
     at = names.index(text_col)
-    for auto in automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes):
-        shipped = docs.sparkSession.sparkContext.broadcast(auto)
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(a) for a in automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes)]
+    if not blocks:
+        return docs
+    if len(blocks) > 1:
+        return _cut_by_blocks(docs.toDF(*plain), blocks, at, max_coverage).toDF(*names)
+    shipped = blocks[0]
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            auto = shipped.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = shipped.value
+        for batch in batches:
+            for part, texts in binary_texts(batch, plain[at]):
+                keep, new = [], []
+                for text in texts:
+                    words = words_of(text)
+                    spans, _ = scan(words, auto)
+                    hit = sum(b - a for a, b in spans)
+                    keep.append(not hit or hit <= max_coverage * len(words))
+                    new.append(clean(text, auto) if hit else text)
+                columns = [*part.columns]
+                columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+
+    return docs.toDF(*plain).mapInArrow(run, docs.schema)
+
+
+def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
+
+
+def _cut_by_blocks(docs: DataFrame, blocks: list, at: int, max_coverage: float) -> DataFrame:
+    """Rounds over texts that may have hits: all blocks add their spans to the row, then the union is cut."""
+    plain, n = docs.columns, len(docs.columns)
+    text = plain[at]
+    fields = StructType([StructField(f.name, f.dataType) for f in docs.schema])
+    wider = StructType([*fields, StructField(f"c{n}", ArrayType(LongType()))])
+    out, todo, first = None, docs, True
+    while True:
+        found = todo.withColumn(f"c{n}", F.array().cast("array<bigint>"))
+        for shipped in blocks:
+
+            def mark(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+                auto = shipped.value
+                for batch in batches:
+                    for part, texts in binary_texts(batch, text):
+                        spans = [[*had, *(x for s in scan(words_of(t), auto)[0] for x in s)] for t, had in zip(texts, part.column(n).to_pylist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(spans, pa.list_(pa.int64()))], names=[*plain, f"c{n}"])
+
+            found = found.mapInArrow(mark, wider)
+        found = materialize(found, "spans")
+
+        def cut(batches: Iterator[pa.RecordBatch], first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, texts in binary_texts(batch, plain[at]):
+                for part, texts in binary_texts(batch, text):
                     keep, new = [], []
-                    for text in texts:
-                        words = words_of(text)
-                        spans, _ = scan(words, auto)
-                        hit = sum(b - a for a, b in spans)
-                        keep.append(not hit or hit <= max_coverage * len(words))
-                        new.append(clean(text, auto) if hit else text)
-                    columns = [*part.columns]
+                    for t, flat in zip(texts, part.column(n).to_pylist(), strict=True):
+                        spans = join_spans([*zip(flat[::2], flat[1::2], strict=True)])
+                        keep.append(not first or sum(b - a for a, b in spans) <= max_coverage * len(words_of(t)))
+                        new.append(cut_spans(t, spans))
+                    columns = [*part.columns[:n]]
                     columns[at] = pa.array(new, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
-
-        out = out.toDF(*plain).mapInArrow(run, docs.schema)
-    return out
+                    yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(keep))
+
+        whole = found.where(F.size(f"c{n}") == 0).select(*plain)
+        out = whole if out is None else out.unionByName(whole)
+        hit = found.where(F.size(f"c{n}") > 0)
+        if hit.isEmpty():
+            return out
+        todo, first = hit.mapInArrow(cut, fields), False

@@ -272,6 +272,29 @@ def brute_hits(words, items, window):
     return hit, sorted(found)
 
 
+def test_blocks_cut_like_one_block(spark):
+    rng = random.Random(8)
+    word = lambda k: f"w{k:04d}"
+    items = [[word(100 * k + j) for j in range(20)] for k in range(6)]
+    items += [[word(2000 + j) for j in range(10)], [word(2005 + j) for j in range(10)]]  # overlap by five words
+    bench = spark.createDataFrame([(f"i{k}", " ".join(w)) for k, w in enumerate(items)], "item_id string, text string")
+    own = lambda n: [word(5000 + rng.randrange(4000)) for _ in range(n)]
+    docs = [
+        items[0][:10] + items[1][:10] + own(4),  # 83 % of the words, of two blocks
+        own(20) + [word(2000 + j) for j in range(15)] + own(20),
+        own(20) + items[2][:5] + items[3][:12] + items[2][5:15] + own(20),  # the cut brings a window together
+        own(30) + items[4][:10] + items[5][:10] + own(30),
+        own(30),
+    ]
+    rows = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    rows += [(None, rows[1][1]), (None, rows[2][1]), (1, rows[3][1]), (1, rows[3][1]), (7, None), (7, ""), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    by = lambda n: sorted((tuple(r) for r in clean.decontaminate(table, bench, block_bytes=n).collect()), key=str)
+    one = by(8_000_000)
+    assert by(100) == one and len(one) == len(rows) - 1
+    assert not any(w in (t or "").split() for _, t in one for w in items[7])
+
+
 def test_overlap_by_brute_force():
     rng = random.Random(6)
     for _ in range(200):
