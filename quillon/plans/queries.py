@@ -503,7 +503,7 @@ def plate_links(spark, d):
 
 @query()
 def net_heat_exchanger(spark, d):
-    base = read(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").cast("string").alias("model_id"), F.lit("i1").alias("in1"), F.lit("o1").alias("out1"), F.lit("i2").alias("in2"), F.lit("o2").alias("out2"), *(F.lit(v).alias(n) for n, v in (("cp1", 2.0), ("cp2", 2.0), ("ha1", 8.0), ("ha2", 8.0), ("r1", 4.0), ("r2", 4.0))), F.lit(1000).cast("long").alias("seq"))
+    base = read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("model_id"), F.lit("i1").alias("in1"), F.lit("o1").alias("out1"), F.lit("i2").alias("in2"), F.lit("o2").alias("out2"), *(F.lit(v).alias(n) for n, v in (("cp1", 2.0), ("cp2", 2.0), ("ha1", 8.0), ("ha2", 8.0), ("r1", 4.0), ("r2", 4.0))), F.lit(1000).cast("long").alias("seq"))
     inner, comps = network.heat_exchanger(base, 4)
     ends = []
     for s, hot in ((1, 400.0), (2, 300.0)):

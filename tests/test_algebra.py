@@ -105,3 +105,11 @@ def test_moments(spark):
     for c, mean, var in (("p", 4, 4), ("q", 800, 800), ("b", 40, 24), ("g", 0.25, 0.125), ("t", 0.4, 0.04)):
         assert abs(draws[c].mean() - mean) < 5 * (var / n) ** 0.5
         assert abs(draws[c].var() / var - 1) < 0.15
+
+
+def test_every_supplier_has_an_exchanger(spark, tmp_path):
+    from quillon.plans import queries as plans
+
+    spark.range(1, 31).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = plans.QUERIES["net_heat_exchanger"](spark, str(tmp_path)).collect()
+    assert {r.model_id for r in rows} == {str(k) for k in range(1, 31)} and len(rows) % 30 == 0
