@@ -22,20 +22,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests on one machine) is a local one set.
+    Only a session on one machine may do without (as in tests): it gets a temporary one.  On a cluster
+    a machine-local folder would lose tables with their executor, so a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, executors may go."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, executors may go.
+
+    The application's folder is removed when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import LOWER, UPPER, free_names, materialize, named, small_side
+from quillon.llm.common import LOWER, UPPER, free_names, materialize, named
 
 _BLANK = " \t\n\x0b\x0c\r"
+#: Keys that hold one line in so many or more are hot; there can be no more of them than this.
+HOT_SHARE = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -15,6 +17,30 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(_BLANK)), UPPER, LOWER)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """A row that has met its hot key gets another hash for the join that follows, so that no key's rows land in one task."""
+    return rows.withColumn("d1", F.when(F.col("is_hot"), F.xxhash64("id", "th", "at")).otherwise(F.col("h1")))
+
+
+def _meet(rows: DataFrame, keys: DataFrame, least: int) -> DataFrame:
+    """The ``rows`` whose key (h1, h2) is among ``keys``, with its ``keeper`` and whether it is hot.
+
+    Keys of ``least`` lines or more are broadcast (``HOT_SHARE`` bounds their number) and never shuffled;
+    the others, none of which has many rows, are joined by whatever plan their size asks for.
+    """
+    hot = keys.where(F.col("n_key") >= least).select("h1", "h2", F.col("keeper").alias("hot_keeper"), F.lit(True).alias("is_hot"))
+    cold = keys.where(F.col("n_key") < least).select(F.col("h1").alias("d1"), "h2", "keeper", F.lit(True).alias("is_cold"))
+    met = _dealt(rows.join(F.broadcast(hot), ["h1", "h2"], "left")).join(cold, ["d1", "h2"], "left").where(F.col("is_hot") | F.col("is_cold"))
+    return met.select("id", "th", "at", "h1", "h2", F.when(F.col("is_hot"), F.col("hot_keeper")).otherwise(F.col("keeper")).alias("keeper"), F.coalesce("is_hot", F.lit(False)).alias("is_hot"))
+
+
+def _without(met: DataFrame, few: DataFrame, least: int) -> DataFrame:
+    """``met`` without the keys of ``few``, joined in the same two ways."""
+    hot = few.where(F.col("n_key") >= least).select("h1", "h2")
+    cold = few.where(F.col("n_key") < least).select(F.col("h1").alias("d1"), "h2")
+    return _dealt(met.join(F.broadcast(hot), ["h1", "h2"], "left_anti")).join(cold, ["d1", "h2"], "left_anti")
+
+
 def dedup_lines(
     docs: DataFrame,
     *,
@@ -23,7 +49,7 @@ def dedup_lines(
     min_chars: int = 40,
     min_docs: int = 5,
     keep_last: bool = True,
-    hot_docs: int = 1000,
+    hot_lines: int = 1000,
     counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
     """Drop every line whose key has ``min_chars`` code points or more and stands in ``min_docs`` documents or more.
@@ -31,16 +57,20 @@ def dedup_lines(
     Returns all columns of ``docs``, with the text replaced by the kept lines, and
     ``n_lines``, ``n_dropped``.  With ``keep_last`` the largest id holding a key keeps its lines.
 
-    Lines are exploded as 128-bit key hashes (two salted 64-bit hashes), never as text.  A key is counted
-    once a document; the count is a plain aggregate with map-side combine, so one key that a third of
-    the rows hold costs one row a task.  Keys of ``hot_docs`` documents or more are met in place (their
-    table is broadcast if its counted rows allow it) and their rows are then dealt by id, so no key's rows
-    land in one task.  Texts are shuffled once, to meet their own dropped positions.
+    1. Lines are exploded as 128-bit key hashes (two salted 64-bit hashes), never as text.  Lines a key are
+       counted by a plain aggregate with map-side combine: one key that a third of the rows hold costs one
+       row a task.  Keys of fewer lines than ``min_docs``, or of one document, go no further.
+    2. Lines of the other keys meet them.  A key of ``hot_lines`` lines or more, and of more than one line
+       in ``HOT_SHARE``, is met by broadcast (there are at most ``HOT_SHARE`` such keys), so neither a key in
+       many documents nor one that stands very often in few sends its rows to one task.
+    3. Distinct documents are counted for each key that was met; keys of too few of them drop nothing.
+    4. Texts are shuffled once, to meet their own dropped positions, and are put together again by position
+       in one pass over their lines.
 
-    Defined cases: a null text is one empty line and gives an empty text; each row is a document, rows
-    that repeat id and text share one decision and count each; a null id sorts before all others;
-    an empty table gives an empty table; other columns are kept whatever their names, but for
-    those named as ``counts`` (in any case of letters), which are replaced.
+    Defined cases: a null text is one empty line and gives an empty text; rows that repeat an id are one
+    document for the count, those that repeat its text too share one decision, and each comes back; rows
+    without an id are one document, before all others; an empty table gives an empty table; other
+    columns are kept whatever their names, but for those named as ``counts`` (in any case of letters), which are replaced.
     """
     own_text, own_id, own_th, own_drop = free_names(docs, "text", "id", "th", "drop")
     text = F.coalesce(named(text_col), F.lit(""))
@@ -56,32 +86,26 @@ def dedup_lines(
             F.struct(at.cast("int").alias("at"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x51ED), key).alias("h2")),
         ),
     )
-    lines = base.select("id", F.xxhash64("text").alias("th"), F.filter(hashed, lambda x: x.isNotNull()).alias("lines"))
-    once = lines.select("id", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x.h1.alias("h1"), x.h2.alias("h2"))))).alias("k"))
-    shared = (
-        once.groupBy(F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "n", "keeper")
-    )
-    shared = materialize(shared, "shared-lines")
-    hot = small_side(shared.where(F.col("n") >= hot_docs).select(F.col("h1").alias("hot1"), F.col("h2").alias("hot2"), F.col("n").alias("hot_n"), F.col("keeper").alias("hot_keeper")))
-    placed = lines.select("id", "th", F.explode("lines").alias("x")).select("id", "th", "x.at", "x.h1", "x.h2")
-    placed = placed.join(hot, (F.col("h1") == F.col("hot1")) & (F.col("h2") == F.col("hot2")), "left")
-    # rows of a hot key have met it and go anywhere
-    dealt = placed.withColumn("h1", F.when(F.col("hot_n").isNotNull(), F.xxhash64("id", "th", "at")).otherwise(F.col("h1")))
-    met = dealt.join(shared.where(F.col("n") < hot_docs), ["h1", "h2"], "left").where(F.col("hot_n").isNotNull() | F.col("n").isNotNull())
+    placed = base.select("id", F.xxhash64("text").alias("th"), F.explode(F.filter(hashed, lambda x: x.isNotNull())).alias("x")).select("id", "th", "x.at", "x.h1", "x.h2")
+    several = F.lit(True) if min_docs < 2 else (F.min("id") < F.max("id")) | (F.count("id") < F.count(F.lit(1)))
+    shared = placed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_key"), F.max("id").alias("keeper"), several.alias("several"))
+    shared = materialize(shared.where((F.col("n_key") >= min_docs) & F.col("several")).drop("several"), "shared-lines")
+    least = max(hot_lines, (shared.agg(F.sum("n_key")).first()[0] or 0) // HOT_SHARE + 1)
+    met = materialize(_meet(placed, shared, least), "met-lines")
+    # a null id counts as a document too
+    once = met.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("m"))
+    few = materialize(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("m").alias("n_key")).where(F.col("n_docs") < min_docs).select("h1", "h2", "n_key"), "few-lines")
+    met = _without(met, few, least)
     if keep_last:
-        met = met.where(~F.col("id").eqNullSafe(F.when(F.col("hot_n").isNotNull(), F.col("hot_keeper")).otherwise(F.col("keeper"))))
+        met = met.where(~F.col("id").eqNullSafe(F.col("keeper")))
     drops = met.groupBy("id", "th").agg(F.collect_set("at").alias(own_drop)).select(F.col("id").alias(own_id), F.col("th").alias(own_th), own_drop)
     whole = docs.withColumn(own_text, text)
     joined = whole.join(drops, named(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(own_text) == F.col(own_th)), "left")
     split = F.split(own_text, "\n", -1)
-    stay = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(own_drop)),
-        lambda at: F.element_at(split, at + 1),
-    )
-    kept = F.when(F.col(own_drop).isNull(), F.col(own_text)).otherwise(F.array_join(stay, "\n"))
+    # the lines are bound once, as the only element of an array; a lambda that split again would do so for each line
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own_drop)), lambda at: F.element_at(lines, at + 1))
+    rest = F.element_at(F.transform(F.array(split), lambda lines: F.array_join(stay(lines), "\n")), 1)
+    kept = F.when(F.col(own_drop).isNull(), F.col(own_text)).otherwise(rest)
     out = {text_col: kept, counts[0]: F.size(split).cast("long"), counts[1]: F.coalesce(F.size(own_drop), F.lit(0)).cast("long")}
     names = [named(c) for c in docs.columns if c.lower() not in {k.lower() for k in out}]
     return joined.select(*names, *(v.alias(k) for k, v in out.items()))

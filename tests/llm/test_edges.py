@@ -38,7 +38,7 @@ APPLY = {
     "decontaminate": lambda s, d: clean.decontaminate(d, bench(s)),
     "html": lambda s, d: html_text.extract(d, id_col="doc_id", html_col="text"),
     "language": lambda s, d: langid.identify(d, langid.fit(d)),
-    "lines": lambda s, d: line_dedup.dedup_lines(d, hot_docs=3),
+    "lines": lambda s, d: line_dedup.dedup_lines(d, hot_lines=3),
     "suffix": lambda s, d: suffix_dedup.remove_repeats(d),
 }
 
@@ -70,7 +70,7 @@ def test_packing_keeps_every_row(spark):
 
 @pytest.mark.parametrize("hot", [2, 6, 1000])
 def test_lines_alike_with_and_without_hot_keys(spark, hot):
-    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(frame(spark, ROWS), hot_docs=hot).collect() if r.doc_id is not None and r.doc_id >= 20}
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_dedup.dedup_lines(frame(spark, ROWS), hot_lines=hot).collect() if r.doc_id is not None and r.doc_id >= 20}
     assert got == {k: (1, f"text {k} of many\nend {k}") if k < 27 else (0, f"text {k} of many\n{LINE}\nend {k}") for k in range(20, 28)}
 
 
@@ -89,3 +89,24 @@ def test_stages(spark, name):
     else:
         assert ids == {i for i, _ in ROWS}
     assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_lines_count_documents_not_rows(spark, hot):
+    """Distinct documents decide: four rows of one id and one of another are two documents."""
+    rows = [(1, LINE)] * 4 + [(2, f"{LINE}\n" * 9)] + [(k, f"own {k}\n{LINE}{LINE}") for k in (1, 2, 3, 4, 5)] + [(5, f"own 5\n{LINE}{LINE}")]
+    got = line_dedup.dedup_lines(frame(spark, rows), hot_lines=hot).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in got) == sorted([(1, 0)] * 4 + [(2, 0)] + [(k, int(k < 5)) for k in (1, 2, 3, 4, 5, 5)])
+    none = line_dedup.dedup_lines(frame(spark, [(k, LINE) for k in (1, 2, 3, 4)] + [(None, LINE)] * 3), hot_lines=hot).collect()
+    assert sorted(str(r.doc_id) for r in none if r.n_dropped) == ["1", "2", "3", "None", "None", "None"]
+
+
+def test_lines_of_one_long_document(spark):
+    import time
+
+    n = 200_000
+    rows = [(k, LINE) for k in range(1, 6)] + [(0, "\n".join(LINE if k % 1000 == 0 else f"line {k}" for k in range(n)))]
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert time.perf_counter() - began < 60
+    assert (got[0].n_lines, got[0].n_dropped) == (n, n // 1000) and got[0].text == "\n".join(f"line {k}" for k in range(n) if k % 1000)
