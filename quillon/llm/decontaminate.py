@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillon.llm.common import binary_texts, materialize
 
@@ -24,53 +25,85 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
+class _Steps:
+    """Transitions of an automaton under construction or in use: the first of each state in arrays, further ones in a dict.
+
+    Most states have one transition, so a state costs 8 bytes instead of a dict of its own.
+    """
+
+    def __init__(self) -> None:
+        self.char, self.to, self.more = array("i", [-1]), array("i", [0]), {}
+
+    def __len__(self) -> int:
+        return len(self.char)
+
+    def get(self, state: int, c: int) -> int:
+        """The state after ``c``, -1 if there is none."""
+        if self.char[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return -1 if more is None else more.get(c, -1)
+
+    def put(self, state: int, c: int, to: int) -> None:
+        if self.char[state] in (-1, c):
+            self.char[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def new(self, like: int | None = None) -> int:
+        """A further state: without transitions, or with those of another."""
+        state = len(self.char)
+        self.char.append(-1 if like is None else self.char[like])
+        self.to.append(0 if like is None else self.to[like])
+        if like in self.more:
+            self.more[state] = dict(self.more[like])
+        return state
+
+
 @dataclass
 class Automaton:
     """Generalised suffix automaton: transitions, suffix links and lengths, with the items of each window."""
 
     vocab: dict[bytes, int] = field(default_factory=dict)
-    step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
+    step: _Steps = field(default_factory=_Steps)
+    link: array = field(default_factory=lambda: array("i", [-1]))
+    length: array = field(default_factory=lambda: array("i", [0]))
     #: state in which a full window ends -> items with it
     full: dict[int, list[int]] = field(default_factory=dict)
     #: state in which a whole short item ends -> (its words, its number)
     short: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     #: state -> nearest state on its suffix path, itself included, with short items
-    near: list[int] = field(default_factory=list)
-    items: list[str] = field(default_factory=list)
+    near: array = field(default_factory=lambda: array("i"))
+    #: ids by number; an item without an id has None, hits words and is not listed
+    items: list[str | None] = field(default_factory=list)
     window: int = 10
     least: int = 10
 
+    def _state(self, length: int, link: int, like: int | None = None) -> int:
+        self.length.append(length)
+        self.link.append(link)
+        return self.step.new(like)
+
     def _extend(self, last: int, c: int) -> int:
         step, link, length = self.step, self.link, self.length
-        if c in step[last]:  # the string is known already
-            q = step[last][c]
-            if length[q] == length[last] + 1:
-                return q
-            return self._clone(last, c, q)
-        new = len(step)
-        step.append({})
-        link.append(0)
-        length.append(length[last] + 1)
+        q = step.get(last, c)
+        if q >= 0:  # the string is known already
+            return q if length[q] == length[last] + 1 else self._clone(last, c, q)
+        new = self._state(length[last] + 1, 0)
         p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = new
+        while p >= 0 and (q := step.get(p, c)) < 0:
+            step.put(p, c, new)
             p = link[p]
         if p >= 0:
-            q = step[p][c]
             link[new] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return new
 
     def _clone(self, p: int, c: int, q: int) -> int:
-        step, link, length = self.step, self.link, self.length
-        twin = len(step)
-        step.append(dict(step[q]))
-        link.append(link[q])
-        length.append(length[p] + 1)
+        step, link = self.step, self.link
+        twin = self._state(self.length[p] + 1, link[q], q)
         link[q] = twin
-        while p >= 0 and step[p].get(c) == q:
-            step[p][c] = twin
+        while p >= 0 and step.get(p, c) == q:
+            step.put(p, c, twin)
             p = link[p]
         return twin
 
@@ -82,12 +115,12 @@ class Automaton:
         return state
 
 
-def build(items: list[tuple[str, bytes | None]], window: int = 10) -> Automaton:
+def build(items: list[tuple[str | None, bytes | None]], window: int = 10) -> Automaton:
     """The automaton of all items' words; an item shorter than a window counts as a whole."""
     auto = Automaton(window=window)
     coded = []
     for item_id, text in items:
-        ids = [auto.vocab.setdefault(w, len(auto.vocab)) for w in words_of(text)]
+        ids = array("i", [auto.vocab.setdefault(w, len(auto.vocab)) for w in words_of(text)])
         auto.items.append(item_id)
         coded.append(ids)
         last = 0
@@ -97,16 +130,17 @@ def build(items: list[tuple[str, bytes | None]], window: int = 10) -> Automaton:
     for number, ids in enumerate(coded):
         state = 0
         for at, c in enumerate(ids, 1):
-            state = auto.step[state][c]
+            state = auto.step.get(state, c)
             if at >= window:
                 found = auto.full.setdefault(auto.window_state(state), [])
                 if not found or found[-1] != number:
                     found.append(number)
         if 0 < len(ids) < window:
             auto.short.setdefault(state, []).append((len(ids), number))
-    auto.near = [-1] * len(auto.step)
-    for state in sorted(range(1, len(auto.step)), key=auto.length.__getitem__):
-        auto.near[state] = state if state in auto.short else auto.near[auto.link[state]]
+    auto.near = array("i", [-1]) * len(auto.step)
+    if auto.short:
+        for state in sorted(range(1, len(auto.step)), key=auto.length.__getitem__):
+            auto.near[state] = state if state in auto.short else auto.near[auto.link[state]]
     return auto
 
 
@@ -115,18 +149,23 @@ def scan(words: list[bytes], auto: Automaton) -> tuple[list[tuple[int, int]], se
     spans: list[list[int]] = []
     found: set[int] = set()
     ids = list(map(auto.vocab.get, words))
-    step, link, length, near, window, least = auto.step, auto.link, auto.length, auto.near, auto.window, auto.least
+    link, length, near, window, least = auto.link, auto.length, auto.near, auto.window, auto.least
+    char, to, more = auto.step.char, auto.step.to, auto.step.more
     state = matched = 0
     for at, c in enumerate(ids):
         if c is None:
             state = matched = 0
             continue
-        while state and c not in step[state]:
+        while True:  # down the suffix links to a state that goes on; the root knows every word of the vocabulary
+            if char[state] == c:
+                state = to[state]
+                break
+            own = more.get(state)
+            if own is not None and c in own:
+                state = own[c]
+                break
             state = link[state]
             matched = length[state]
-        if c not in step[state]:
-            continue
-        state = step[state][c]
         matched += 1
         if matched < least:
             continue
@@ -166,25 +205,95 @@ def clean(text: bytes, auto: Automaton) -> bytes:
     return text
 
 
-def automata(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = 8_000_000) -> Iterator[Automaton]:
-    """Automata over blocks of the benchmark, each of bounded size; most benchmarks are one block.
+def item_pieces(text: bytes, window: int, most: int) -> list[bytes]:
+    """The item itself; if it is longer than ``most`` bytes, pieces of it that have all its windows; nothing without words."""
+    words = words_of(text)
+    if not words or len(text) <= most:
+        return [text] if words else []
+    step = max(window, most // 16)
+    return [b" ".join(words[k : k + step + window - 1]) for k in range(0, max(1, len(words) - window + 1), step)]
+
+
+def automata(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = 4_000_000) -> tuple[DataFrame, int]:
+    """(table of pickled automata, their number), each over about ``block_bytes`` of items; most benchmarks are one.
+
+    Tasks build them and write them to the shared folder; the driver sees their number only.  Items
+    without words are left out; no items give no automaton.
+    """
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = [], 0
+
+        def pickled() -> pa.RecordBatch:
+            made = pickle.dumps(build(block, window), 5)
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(made)]), pa.array([made], pa.binary())], names=["block", "automaton"])
+
+        for batch in batches:
+            for part, texts in binary_texts(batch, "text"):
+                for item_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    for piece in item_pieces(text, window, block_bytes):
+                        if block and held + len(piece) > 2 * block_bytes:  # the deal by hash is about even
+                            yield pickled()
+                            block, held = [], 0
+                        block.append((item_id, piece))
+                        held += len(piece)
+        if block:
+            yield pickled()
+
+    dealt = items.repartition(n, F.xxhash64("item_id", "text")) if n > 1 else items.coalesce(1)
+    blocks = materialize(dealt.mapInArrow(run, "block string, automaton binary"), "automata")
+    return blocks, blocks.count()
+
+
+def _ship(docs: DataFrame, blocks: DataFrame) -> Iterator:
+    """One automaton after another as a broadcast; each goes before the next one comes, on the driver and on executors."""
+    context = docs.sparkSession.sparkContext
+    for row in blocks.select("block").distinct().collect():
+        shipped = context.broadcast(pickle.loads(blocks.where(F.col("block") == row.block).first().automaton))
+        yield shipped
+        shipped.destroy()
+
+
+def _row_hits(keyed: DataFrame, blocks: DataFrame, *, items: bool) -> DataFrame:
+    """(row, spans, items) of the rows of ``keyed`` (row long, text) that any block hits, each block in a pass of its own.
 
-    Items come to the driver one partition at a time.  Items without words are left out.
+    Only hits are written and meet by row number; spans are a flat list of start, end word numbers.
     """
-    block, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        text = row.t.encode("utf-8", "surrogatepass")
-        if block and size + len(text) > block_bytes:
-            yield build(block, window)
-            block, size = [], 0
-        block.append((row.i, text))
-        size += len(text)
-    if block:
-        yield build(block, window)
-
-
-def _found(docs: DataFrame, auto: Automaton, id_col: str, text_col: str) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(auto)
+    schema = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+    parts = []
+    for shipped in _ship(keyed, blocks):
+
+        def mark(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            auto = shipped.value
+            for batch in batches:
+                for part, texts in binary_texts(batch, "text"):
+                    out = []
+                    for number, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                        hit, found = scan(words_of(text), auto)
+                        if hit:
+                            out.append((number, [x for s in hit for x in s], sorted({auto.items[k] for k in found} - {None}) if items else []))
+                    columns = zip(*out, strict=True) if out else [[], [], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        parts.append(materialize(keyed.select("row", "text").mapInArrow(mark, "row long, spans array<long>, items array<string>"), "hits"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    gathered = every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[x for s in join_spans([*zip(flat[::2], flat[1::2], strict=True)]) for x in s] for flat in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, schema.types[1]), batch.column(2)], schema=schema)
+
+    return materialize(gathered.mapInArrow(join, "row long, spans array<long>, items array<string>"), "row-hits")
+
+
+def _found(docs: DataFrame, shipped, id_col: str, text_col: str) -> DataFrame:
+    """One automaton: every row is scanned where it lies."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,67 +306,65 @@ def _found(docs: DataFrame, auto: Automaton, id_col: str, text_col: str) -> Data
                     hit, numbers = scan(words, auto)
                     n.append(len(words))
                     spans.append([x for s in hit for x in s])
-                    items.append(sorted({auto.items[k] for k in numbers}))
+                    items.append(sorted({auto.items[k] for k in numbers} - {None}))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(spans, schema.types[2]), pa.array(items, schema.types[3])], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_words long, spans array<long>, items array<string>")
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8_000_000) -> DataFrame:
+def _single(docs: DataFrame, blocks: DataFrame, n: int, window: int):
+    """The one automaton of a small benchmark, or an empty one, as a broadcast that stays."""
+    return docs.sparkSession.sparkContext.broadcast(pickle.loads(blocks.first().automaton) if n else build([], window))
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
     """Per document: ``n_words``, ``spans`` (flat list of start, end word numbers) and ``items`` (sorted ids).
 
     Words stream through the automaton, which tracks the longest match that ends at each word; a match of
     a whole window (or of a whole shorter item) is a hit.  The automaton is broadcast in blocks of bounded
-    size: with one block no row is shuffled, with several the spans of a document (never texts) meet.
+    size: with one block no row is shuffled.  With several, rows get a number of their own, each block
+    is one pass over the texts that writes hits only, and the hits of a row (never texts) meet by its number.
 
-    Defined cases: a null text has no words; an item without words is never found; items or rows that
-    repeat are found alike; rows that repeat an id stay apart while one block is enough, and are taken
-    as one document otherwise; empty tables give no hits or no rows; other columns are ignored.
+    Defined cases: a null text has no words; an item without words is never found; an item without an id
+    hits words but is not listed; items that repeat an id are listed once; rows are answered one by one,
+    whatever their ids, so rows that repeat an id or have none all come back; empty tables give no hits
+    or no rows; other columns are ignored.
     """
-    blocks = list(automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes)) or [build([], window)]
-    parts = [_found(docs, a, id_col, text_col) for a in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1), lambda k: F.array(F.element_at("spans", (2 * k + 1).cast("int")), F.element_at("spans", (2 * k + 2).cast("int"))))
-    merged = merged.withColumn("pairs", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<array<bigint>>")))
-    grouped = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("pairs"))).alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def join_spans(done, x):
-        last = F.element_at(done, -1)
-        touches = (F.size(done) > 0) & (F.element_at(x, 1) <= F.when(F.size(done) > 0, F.element_at(last, 2)))
-        longer = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(F.element_at(last, 1), F.greatest(F.element_at(last, 2), F.element_at(x, 2)))))
-        return F.when(touches, longer).otherwise(F.concat(done, F.array(x)))
-
-    spans = F.flatten(F.aggregate("pairs", F.array().cast("array<array<bigint>>"), join_spans))
-    return grouped.select("doc_id", "n_words", spans.alias("spans"), "items")
+    blocks, n = automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes)
+    if n <= 1:
+        return _found(docs, _single(docs, blocks, n, window), id_col, text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialize(own, "numbered")
+    counted = keyed.select("row", "doc_id", "text").mapInArrow(_count_words, "row long, doc_id long, n_words long")
+    joined = counted.join(_row_hits(keyed, blocks, items=True), "row", "left")
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", empty("bigint")).alias("spans"), F.coalesce("items", empty("string")).alias("items"))
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in binary_texts(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(words_of(t)) for t in texts], pa.int64())], names=["row", "doc_id", "n_words"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.8, block_bytes: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = 10, max_coverage: float = 0.8, block_bytes: int = 4_000_000) -> DataFrame:
     """``docs`` without benchmark spans; a document of which more than ``max_coverage`` of its words were hit goes.
 
-    Rows are handled one by one, with no shuffle.  With several blocks each row takes the spans of all of
-    them along, found on the same text; coverage is judged on their union, which is cut at once, and texts
-    that were cut are scanned by all blocks again until none hits: the result is that of one block.
-    Texts without a hit stay as they are, byte for byte; null texts stay null; an empty benchmark changes
-    nothing.  Columns are kept; rows that repeat an id, or have none, stay apart.
+    Rows are handled one by one, with no shuffle while the benchmark is one block.  With several, rows are
+    numbered and take the spans of all blocks along, found on the same text; coverage is judged once on
+    their union, which is cut at once, and texts that were cut are scanned by all blocks again until none
+    hits: the result is that of one block.  Texts without a hit stay as they are, byte for byte; null texts
+    stay null; an empty benchmark changes nothing.  Columns are kept; rows that repeat an id, or have none, stay apart.
     """
     names = docs.columns
     plain = [f"c{k}" for k in range(len(names))]  # a name with a dot cannot go to Python
     at = names.index(text_col)
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(a) for a in automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes)]
-    if not blocks:
+    blocks, n = automata(benchmark, id_col=item_id_col, text_col=item_text_col, window=window, block_bytes=block_bytes)
+    if not n:
         return docs
-    if len(blocks) > 1:
+    if n > 1:
         return _cut_by_blocks(docs.toDF(*plain), blocks, at, max_coverage).toDF(*names)
-    shipped = blocks[0]
+    shipped = _single(docs, blocks, n, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = shipped.value
@@ -287,42 +394,29 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut_by_blocks(docs: DataFrame, blocks: list, at: int, max_coverage: float) -> DataFrame:
-    """Rounds over texts that may have hits: all blocks add their spans to the row, then the union is cut."""
-    plain, n = docs.columns, len(docs.columns)
-    text = plain[at]
-    fields = StructType([StructField(f.name, f.dataType) for f in docs.schema])
-    wider = StructType([*fields, StructField(f"c{n}", ArrayType(LongType()))])
-    out, todo, first = None, docs, True
+def _cut_by_blocks(docs: DataFrame, blocks: DataFrame, at: int, max_coverage: float) -> DataFrame:
+    """Rounds over texts that may have hits: the spans of all blocks meet at the row, then their union is cut."""
+    plain, text = docs.columns, docs.columns[at]
+    todo = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    fields, out, first = todo.schema, None, True
     while True:
-        found = todo.withColumn(f"c{n}", F.array().cast("array<bigint>"))
-        for shipped in blocks:
-
-            def mark(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-                auto = shipped.value
-                for batch in batches:
-                    for part, texts in binary_texts(batch, text):
-                        spans = [[*had, *(x for s in scan(words_of(t), auto)[0] for x in s)] for t, had in zip(texts, part.column(n).to_pylist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(spans, pa.list_(pa.int64()))], names=[*plain, f"c{n}"])
-
-            found = found.mapInArrow(mark, wider)
-        found = materialize(found, "spans")
+        found = _row_hits(todo.select("row", F.col(text).alias("text")), blocks, items=False).select("row", "spans")
+        whole = todo.join(found, "row", "left_anti").select(*plain)
+        out = whole if out is None else out.unionByName(whole)
+        if found.isEmpty():
+            return out
 
         def cut(batches: Iterator[pa.RecordBatch], first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, texts in binary_texts(batch, text):
                     keep, new = [], []
-                    for t, flat in zip(texts, part.column(n).to_pylist(), strict=True):
-                        spans = join_spans([*zip(flat[::2], flat[1::2], strict=True)])
+                    for t, flat in zip(texts, part.column(len(fields)).to_pylist(), strict=True):
+                        spans = [*zip(flat[::2], flat[1::2], strict=True)]
                         keep.append(not first or sum(b - a for a, b in spans) <= max_coverage * len(words_of(t)))
                         new.append(cut_spans(t, spans))
-                    columns = [*part.columns[:n]]
+                    columns = [*part.columns[: len(fields)]]
                     columns[at] = pa.array(new, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(columns, names=plain).filter(pa.array(keep))
+                    yield pa.RecordBatch.from_arrays(columns, names=fields.names).filter(pa.array(keep))
 
-        whole = found.where(F.size(f"c{n}") == 0).select(*plain)
-        out = whole if out is None else out.unionByName(whole)
-        hit = found.where(F.size(f"c{n}") > 0)
-        if hit.isEmpty():
-            return out
-        todo, first = hit.mapInArrow(cut, fields), False
+        hit = todo.join(found, "row").select(*plain, "row", "spans")
+        todo, first = materialize(hit.mapInArrow(cut, fields), "cut"), False
