@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,111 +14,222 @@ from pyspark.sql import functions as F
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist param area map dialog".split())
-BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
-CLOSES_P = BLOCK - frozenset("html body tbody thead tfoot tr caption dd dt li option optgroup".split()) | frozenset("ul ol dl".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param area rp".split())
+HIDDEN_FOREIGN = frozenset("title desc metadata defs symbol style script annotation annotation-xml".split())
+BLOCK = frozenset("html body address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol optgroup option p pre search section summary table ul caption tbody thead tfoot tr xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre xmp figure hr".split())
+LISTS = frozenset("ul ol menu".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+CLOSES_P = BLOCK - frozenset("html body tbody thead tfoot tr caption dd dt li option optgroup legend".split()) | frozenset("ul ol dl dd dt li".split())
+P_STOPS = ("table", "td", "th", "caption", "button", "object", "template")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_GROUP = (("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",))
 #: start tag -> open elements that it ends, and the elements at which the search stops
 IMPLIED = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
-    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "td": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "th": (frozenset(["td", "th"]), frozenset(["table", "tr"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "option": (("option",), ("select", "datalist", "optgroup")),
+    "optgroup": (("option", "optgroup"), ("select",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "td": (("td", "th", "caption"), ("table", "tr")),
+    "th": (("td", "th", "caption"), ("table", "tr")),
+    "tbody": _GROUP,
+    "thead": _GROUP,
+    "tfoot": _GROUP,
+    "colgroup": _GROUP,
+    "caption": _GROUP,
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_GONE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-_WHITE = re.compile(r"[ \t\n\r\f]+")
+_SPACE = "\t\n\f\r "
+_WHITE = re.compile(r"[\t\n\f\r ]+")
+_NAME = re.compile(r"[^\t\n\f\r />]*")
+#: Where markup begins: a tag's name, or a comment of whatever kind; any other "<" is text.
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z])|[!?]|/(?=[\s\S]))")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\t\n\f\r />]*)>")
+_BETWEEN = re.compile(r"[\t\n\f\r /]*")
+_ATTRIBUTE_NAME = re.compile(r"=?[^\t\n\f\r />=]*")
+_EQUALS = re.compile(r"[\t\n\f\r ]*=[\t\n\f\r ]*")
+_UNQUOTED = re.compile(r"[^\t\n\f\r >]*")
+_STYLE = re.compile(r"(?:^|;)[\s]*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])[^>]*>", re.I) for tag in RAW}
+_INTEGER = re.compile(r"\s*(-?\d{1,9})")
+
+#: Cells of more characters than this stand in their row as they are and do not widen their column.
+WIDE_CELL = 200
+#: Lists nested deeper are indented no further.
+DEEPEST = 20
 
 
 class Node:
-    __slots__ = ("tag", "kids", "hidden", "start")
+    """An element: its children, whether it is gone for layout, and what it says about visibility (None: as its parent)."""
+
+    __slots__ = ("tag", "kids", "gone", "seen", "given", "holds_table")
+
+    def __init__(self, tag: str, gone: bool = False, seen: bool | None = None, given: dict[str, str] | None = None) -> None:
+        self.tag, self.kids, self.gone, self.seen, self.given, self.holds_table = tag, [], gone, seen, given, False
+
+    def number(self, name: str, default: int) -> int:
+        found = _INTEGER.match(self.given.get(name, "")) if self.given else None
+        return int(found[1]) if found else default
+
+
+def read_tag(source: str, at: int) -> tuple[dict[str, str], int, bool] | None:
+    """(attributes, place after the tag, self-closing) from behind a tag's name; None where the source ends within the tag.
+
+    The states are those of the standard: before, in and after an attribute's name, before a value, and
+    a value in double quotes, in single ones or in none, where a quote is a character like any other.
+    """
+    found: dict[str, str] = {}
+    n = len(source)
+    while True:
+        gap = _BETWEEN.match(source, at)
+        at = gap.end()
+        if at >= n:
+            return None
+        if source[at] == ">":
+            return found, at + 1, gap[0].endswith("/")
+        m = _ATTRIBUTE_NAME.match(source, at)
+        name, at = m[0].lower(), m.end()
+        value = ""
+        m = _EQUALS.match(source, at)
+        if m:
+            at = m.end()
+            quote = source[at : at + 1]
+            if quote in ('"', "'"):
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return None
+                value, at = source[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(source, at)
+                value, at = m[0], m.end()
+        found.setdefault(name, html.unescape(value) if "&" in value else value)
+
+
+def _shown(tag: str, given: dict[str, str], foreign: bool) -> tuple[bool, bool | None]:
+    """Whether an element is gone with all that it holds, and its visibility where it states one."""
+    style = {k.lower(): v.lower() for k, v in _STYLE.findall(given.get("style", ""))}
+    gone = tag in (HIDDEN_FOREIGN if foreign else HIDDEN) or (tag == "input" and given.get("type", "").lower() == "hidden")
+    gone = gone or (tag == "dialog" and "open" not in given and "display" not in style)
+    gone = gone or style.get("display") == "none" or ("hidden" in given and "display" not in style)
+    seen = style.get("visibility")
+    return gone, None if seen not in ("hidden", "collapse", "visible") else seen == "visible"
+
+
+class _Builder:
+    """The stack of open elements, with the places of each tag in it, so that no search walks the stack."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root")
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these tags; 0 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1) -> None:
-        self.tag, self.kids, self.hidden, self.start = tag, [], hidden, start
+    def push(self, node: Node) -> None:
+        if node.tag == "table" and (outer := self.last(("table",))):
+            self.stack[outer].holds_table = True
+        self.stack[-1].kids.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
 
+    def cut(self, place: int) -> None:
+        """Close all from ``place`` on."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
 
-def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
+    def start(self, tag: str) -> None:
+        """Close what a start tag implies to be over."""
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES_P and (at := self.last(("p",))) > self.last(P_STOPS):
+            self.cut(at)
+        if tag in IMPLIED:
+            ends, stops = IMPLIED[tag]
+            stop = self.last(stops)
+            firsts = [p[k] for t in ends if (p := self.places.get(t)) and (k := bisect_right(p, stop)) < len(p)]
+            if firsts:
+                self.cut(min(firsts))
+        if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
+            self.cut(len(self.stack) - 1)
+
+    def end(self, tag: str) -> None:
+        at = self.last((tag,))
+        if at and (tag == "table" or at > self.last(("table",))):
+            self.cut(at)
+
+    def text(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip(_SPACE):
+            self.cut(len(self.stack) - 1)
+        self.stack[-1].kids.append(html.unescape(data) if "&" in data else data)
 
 
 def build_tree(source: str) -> Node:
-    """A tree of elements and strings.
+    """A tree of elements and strings, in time linear in the source (but for a logarithm).
 
-    Start tags end what they imply to be over (p before blocks, li, dt, dd, option, cells, rows, row
+    Start tags end what they imply to be over (head, p before blocks, li, dt, dd, option, cells, rows, row
     groups); an end tag closes the nearest such element, but none outside the table it stands in; an
-    unmatched one is ignored.  Raw elements end only at their own end tag.
+    unmatched one is ignored.  Raw elements end only at their own end tag, a tag that the source breaks off is dropped.
     """
-    root = Node("#root")
-    stack = [root]
+    tree = _Builder()
     at, n = 0, len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _MARKUP.search(source, at)
         if not m:
-            stack[-1].kids.append(html.unescape(source[at:]))
+            tree.text(source[at:])
             break
-        if m.start() > at:
-            stack[-1].kids.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        less, closing = m.start(), m[1] == "/"
+        if not m[2]:
+            if less > at:
+                tree.text(source[at:less])
+            if source.startswith("<!--", less):
+                end = source.find("-->", less + 2)
+                at = n if end < 0 else end + 3
+            else:
+                end = source.find(">", less)
+                at = n if end < 0 else end + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if less > at:
+            tree.text(source[at:less])
+        plain = _PLAIN_TAG.match(source, less)
+        if plain:
+            tag, given, at, empty = plain[2].lower(), {}, plain.end(), False
+        else:
+            name = _NAME.match(source, less + 1 + closing)
+            read = read_tag(source, name.end())
+            if read is None:
+                break
+            tag = name[0].lower()
+            given, at, empty = read
+        if closing:
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag == "table":
-                    break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("table", "td", "th", "button", "object"):
-                    break
-        if tag in IMPLIED:
-            ends, stops = IMPLIED[tag]
-            cut = len(stack)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ends:
-                    cut = k
-            del stack[cut:]
-        if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", stack[-1].tag):
-            stack.pop()
-        given = m[3]
-        found = _attributes(given) if "=" in given or "hidden" in given else {}
-        hidden = tag in HIDDEN or "hidden" in found or bool(_GONE.search(found.get("style", ""))) or (tag == "input" and found.get("type", "").lower() == "hidden")
-        start = found.get("start", "1")
-        node = Node(tag, hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
-        stack[-1].kids.append(node)
-        if tag == "img" and found.get("alt"):
-            node.kids.append(found["alt"])
-        if tag in VOID:
+                tree.stack[-1].kids.append(Node("br"))
+            else:
+                tree.end(tag)
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+        foreign = bool(tree.places.get("svg") or tree.places.get("math"))
+        tree.start(tag)
+        gone, seen = _shown(tag, given, foreign)
+        node = Node(tag, gone, seen, given if given and tag in ("ol", "li", "td", "th") else None)
+        if tag == "img" and given.get("alt"):
+            node.kids.append(given["alt"])
+        if tag in RAW and not foreign:
+            end = _RAW_END[tag].search(source, at) if tag != "plaintext" else None
             body = source[at : end.start() if end else n]
-            node.kids.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
-            continue
-        if not given.endswith("/") or tag not in ("svg", "math"):
-            stack.append(node)
-    return root
+            if not gone:
+                node.kids.append(html.unescape(body) if tag == "textarea" else body)
+            tree.stack[-1].kids.append(node)
+        elif tag in VOID or (empty and (foreign or tag in ("svg", "math"))):
+            tree.stack[-1].kids.append(node)
+        else:
+            tree.push(node)
+            if tag == "pre" and source.startswith("\n", at):
+                at += 1
+    return tree.root
 
 
 class _Lines:
@@ -129,130 +241,192 @@ class _Lines:
         self.space = self.gap = False
 
     def text(self, data: str) -> None:
-        if not data:
-            return
         parts = _WHITE.split(data)
-        if parts[0] == "" and len(parts) > 1:
-            self.space = True
         for k, word in enumerate(parts):
-            if not word:
-                continue
             if k:
                 self.space = True
-            if self.space and self.now:
-                self.now.append(" ")
-            self.space = False
-            self.now.append(word)
-        if len(parts) > 1 and parts[-1] == "":
-            self.space = True
+            if word:
+                if self.space and self.now:
+                    self.now.append(" ")
+                self.space = False
+                self.now.append(word)
+
+    def _begin(self) -> None:
+        if self.gap and self.done:
+            self.done.append("")
+        self.gap = False
+
+    def kept(self, data: str) -> None:
+        """Text in which spaces and line ends count."""
+        for k, row in enumerate(data.replace("\r\n", "\n").split("\n")):
+            if k:
+                self._begin()
+                self.done.append("".join(self.now).rstrip(" "))
+                self.now, self.space = [], False
+            if row:
+                self.now.append(row)
 
     def line(self, blank: bool = False) -> None:
         if self.now:
-            if self.gap and self.done:
-                self.done.append("")
-            self.gap = False
+            self._begin()
             self.done.append("".join(self.now).rstrip(" "))
             self.now = []
         self.space = False
         self.gap |= blank
 
-    def whole(self, lines: list[str], blank: bool) -> None:
-        self.line(blank)
-        if any(lines):
-            if self.gap and self.done:
-                self.done.append("")
-            self.gap = False
+    def whole(self, lines: list[str]) -> None:
+        """Finished lines as a spaced block."""
+        self.line(True)
+        if lines:
+            self._begin()
             self.done += lines
-        self.gap |= blank
+        self.gap = True
 
+    def ended(self) -> list[str]:
+        self.line()
+        while self.done and not self.done[-1]:
+            self.done.pop()
+        return self.done
 
-def _table(node: Node) -> list[str]:
-    """Rows as lines, cells padded to the widest of their column and joined by two spaces."""
-    rows: list[list[str]] = []
-    captions: list[str] = []
-    todo = [iter(node.kids)]
-    loose: list = []
-    while todo:
-        kid = next(todo[-1], None)
-        if kid is None:
-            todo.pop()
-        elif isinstance(kid, str):
-            loose.append(kid)
-        elif kid.hidden:
-            continue
-        elif kid.tag == "tr":
-            rows.append([" ".join(render_lines(c)) for c in kid.kids if isinstance(c, Node) and not c.hidden])
-        elif kid.tag == "caption":
-            captions += render_lines(kid)
-        elif kid.tag in ("tbody", "thead", "tfoot", "colgroup"):
-            todo.append(iter(kid.kids))
-        elif kid.tag in ("td", "th"):
-            rows.append([" ".join(render_lines(kid))])
-        else:
-            loose.append(kid)
-    wide = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows), default=0))]
-    lines = ["  ".join(cell.ljust(w) for cell, w in zip(row, wide, strict=False)).rstrip() for row in rows]
-    outside = Node("div")
-    outside.kids = loose
-    return [x for x in [*captions, *render_lines(outside), *lines] if x]
+
+class _Table:
+    """The cells of a table under way, and what stands loose in it."""
+
+    def __init__(self) -> None:
+        self.loose = _Lines()
+        self.captions: list[str] = []
+        #: rows of (first column, one after the last, text)
+        self.rows: list[list[tuple[int, int, str]]] = []
+        #: columns that cells of earlier rows reach down into: (first, one after the last, last row)
+        self.down: list[tuple[int, int, int]] = []
+
+    def row(self) -> None:
+        self.rows.append([])
+        number = len(self.rows) - 1
+        self.down = [x for x in self.down if x[2] >= number]
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        if not self.rows:
+            self.row()
+        row, number = self.rows[-1], len(self.rows) - 1
+        at = row[-1][1] if row else 0
+        for first, end, _ in self.down:  # in order of columns
+            if first <= at < end:
+                at = end
+        row.append((at, at + across, text))
+        if down > 1 and len(self.down) < 64:  # layout only: beyond so many at once, columns below are not shifted
+            self.down = sorted([*self.down, (at, at + across, number + down - 1)])
+
+    def lines(self) -> list[str]:
+        """Caption and loose text, then rows: columns as wide as their widest cell, two spaces between."""
+        starts = sorted({first for row in self.rows for first, _, _ in row})
+        place = {first: k for k, first in enumerate(starts)}
+        wide = [0] * len(starts)
+        for row in self.rows:
+            for first, end, text in row:
+                if place[first] + 1 == len(starts) or end <= starts[place[first] + 1]:
+                    wide[place[first]] = max(wide[place[first]], len(text) if len(text) <= WIDE_CELL else 0)
+        at = [0]  # where each column begins
+        for w in wide:
+            at.append(at[-1] + w + 2 if w else at[-1])
+        out = []
+        for row in self.rows:
+            line, length = [], 0
+            for first, _, text in row:
+                if text:
+                    pad = max(at[place[first]] - length, 2 if length else 0)
+                    line.append(" " * pad + text)
+                    length += pad + len(text)
+            if line:
+                out.append("".join(line))
+        return [*(x for x in self.captions if x), *(x for x in self.loose.ended() if x), *out]
+
+
+class _Frame:
+    """An open element in rendering, with what its children inherit."""
+
+    __slots__ = ("node", "kids", "lists", "pre", "seen", "list_frame", "next", "inside")
+
+    def __init__(self, node: Node, over: _Frame | None) -> None:
+        self.node, self.kids, self.next = node, iter(node.kids), 1
+        self.lists = over.lists if over else 0
+        self.pre = over.pre if over else False
+        self.seen = over.seen if over else True
+        self.list_frame = over.list_frame if over else None
+        self.inside = self.lists > 0  # in a list already: no empty lines around
+        if node.seen is not None:
+            self.seen = node.seen
 
 
 def render_lines(root: Node) -> list[str]:
-    """All visible text of a node, as lines; nesting is followed with a stack of its own, to any depth."""
-    out = _Lines()
-    #: (node, its remaining children, number of the next list item)
-    stack: list[list] = [[root, iter(root.kids), root.start]]
+    """All visible text of a node, as lines; nesting is followed with a stack of its own, to any depth.
+
+    A table that holds no other is laid out in columns.  One that holds tables is taken for page layout:
+    its cells follow one another as blocks.  Text that stands in a table outside its cells goes before the rows.
+    """
+    outs: list[_Lines] = [_Lines()]  # the page; the loose text, a cell or a caption of the table under way
+    table: _Table | None = None
+    stack = [_Frame(root, None)]
     while stack:
         top = stack[-1]
-        node = top[0]
-        kid = next(top[1], None)
+        node, tag, out = top.node, top.node.tag, outs[-1]
+        kid = next(top.kids, None)
         if kid is None:
             stack.pop()
-            if stack and node.tag in BLOCK:
-                out.line(node.tag in SPACED and not any(f[0].tag in ("ul", "ol") for f in stack))
+            top.list_frame = None
+            if table is not None and tag == "table":
+                outs.pop()
+                outs[-1].whole(table.lines())
+                table = None
+            elif table is not None and tag in ("td", "th"):
+                outs.pop()
+                table.cell(" ".join(x for x in out.ended() if x), min(1000, max(1, node.number("colspan", 1))), max(1, node.number("rowspan", 1)))
+            elif table is not None and tag == "caption":
+                outs.pop()
+                table.captions += out.ended()
+            elif tag in BLOCK or tag in ("td", "th"):
+                out.line(tag in SPACED and not top.inside)
             continue
         if isinstance(kid, str):
-            if node.tag == "pre" or any(f[0].tag == "pre" for f in stack):
-                rest = kid.split("\n")
-                for k, row in enumerate(rest):
-                    if k:
-                        out.line()
-                    if row:
-                        out.now.append(row)
-            else:
-                out.text(kid)
+            if top.seen:
+                out.kept(kid) if top.pre else out.text(kid)
             continue
-        if kid.hidden:
+        if kid.gone:
             continue
         tag = kid.tag
         if tag == "br":
-            out.line()
+            out.line() if out.now or not top.pre else out.kept("\n")
             continue
         if tag == "hr":
             out.line(True)
             continue
-        if tag == "table":
-            out.whole(_table(kid), True)
+        frame = _Frame(kid, top)
+        stack.append(frame)
+        if tag == "table" and table is None and not kid.holds_table:
+            table = _Table()
+            outs.append(table.loose)
             continue
-        if tag in BLOCK:
-            inside = any(f[0].tag in ("ul", "ol") for f in stack)
-            out.line(tag in SPACED and not inside)
-        elif tag in ("td", "th"):
-            out.space = True
-        if tag == "li":
-            depth = sum(f[0].tag in ("ul", "ol", "menu") for f in stack)
-            mark = "-"
-            for frame in reversed(stack):
-                if frame[0].tag == "ol":
-                    mark = f"{frame[2]}."
-                    frame[2] += 1
-                if frame[0].tag in ("ol", "ul", "menu"):
-                    break
-            out.now.append("  " * max(0, depth - 1) + mark)
+        if table is not None and tag in ("tr", "td", "th", "caption") and len(outs) == 2 or table is not None and tag in ("td", "th", "caption"):
+            if tag == "tr":
+                table.row()
+            else:
+                outs.append(_Lines())
+            continue
+        if tag in BLOCK or tag in ("td", "th"):
+            out.line(tag in SPACED and not frame.inside)
+        if tag in ("pre", "xmp"):
+            frame.pre = True
+        elif tag in LISTS:
+            frame.lists += 1
+            frame.list_frame, frame.next = frame, kid.number("start", 1)
+        elif tag == "li" and frame.seen:
+            mark, owner = "-", frame.list_frame
+            if owner is not None and owner.node.tag == "ol":
+                number = kid.number("value", owner.next)
+                mark, owner.next = f"{number}.", number + 1
+            out.now.append("  " * min(DEEPEST, max(0, frame.lists - 1)) + mark)
             out.space = True
-        stack.append([kid, iter(kid.kids), kid.start])
-    out.line()
-    return out.done
+    return outs[0].ended()
 
 
 def extract_text(source: str | None) -> str:
@@ -261,7 +435,11 @@ def extract_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, text, n_chars, n_lines) of every row; rows stand for themselves, other columns are ignored."""
+    """(page_id, text, n_chars, n_lines) of every row, whole pages in one pass without a shuffle.
+
+    Defined cases: a null or empty page gives the empty string and 0 lines; rows stand for themselves, so
+    repeated rows and null ids all come back; an empty table gives an empty table; other columns are ignored.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_lines", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

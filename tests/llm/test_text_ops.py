@@ -322,7 +322,7 @@ def test_rows_stand_alone_whatever_the_blocks(spark):
     """Repeated and null ids, null items: the same rows come back with one block and with several."""
     items = [("i1", prose(1, 14, 9000)), (None, prose(2, 14, 9000)), ("i3", prose(3, 60, 9000)), ("i3", prose(4, 12, 9000)), ("i5", "two words"), ("i6", None), ("i7", " ... ")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    text = [f"{prose(50, 5)} {t} {prose(51, 5)}" for _, t in items if t]
+    text = [f"{prose(50, 5)} {t} {prose(51, 5)}" for _, t in items if t and t.strip(" .")]
     rows = [(1, text[0]), (1, "a b c"), (None, text[1]), (None, f"{text[2]} {text[3]}"), (None, None), (7, " ".join(text)), (7, " ".join(text)), (8, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     by = lambda n: sorted(map(str, clean.find_overlap(docs, bench, block_bytes=n).collect()))
@@ -360,12 +360,116 @@ def test_long_items_keep_their_windows():
         ("<div>one</div>two<br>three <b>four</b>", "one\ntwo\nthree four"),
         ("a < b <", "a < b <"),
         ("<b>" * 5000 + "deep", "deep"),
+        ("<p class=it's>Hello</p><p>world</p> it's fine", "Hello\n\nworld\n\nit's fine"),
+        ("<a title='x>y' data-q=\"<p>\">z</a", "z"),
+        ("<table><tr>loose<td>a</table>", "loose\na"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+        ("<div style='display:none'>no<b style='visibility: visible'>no</b></div>yes", "yes"),
+        ("<dialog open>x</dialog><dialog>y</dialog><math><mi>z</mi></math>", "x\nz"),
+        ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>bb<td>d</table>", "wide   c\na  bb  d"),
+        ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"),
+        ("<table><tr><td><table><tr><td>in<td>side</table><td>next</table>", "in  side\n\nnext"),
+        ("<head><title>t</title><p>body text", "body text"),
+        ("<svg><title/><text>s</text></svg> after", "s after"),
+        ("<pre>\na\n\nb\n</pre>z", "a\n\nb\n\nz"),
+        ("x<!-- <b> -->y</>c</ q>d<?php x?>e", "xycde"),
+        ("a<!-->b", "ab"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
     ],
 )
 def test_rendering(source, want):
     assert html_text.extract_text(source) == want
 
 
+@pytest.mark.parametrize(
+    ("source", "n_words"),
+    [
+        ("<table><tr><td>x " * 5000, 5000),
+        ("<div>" * 200_000 + "deep", 1),
+        ("</b>" * 200_000 + "end", 1),
+        ("<p>some text " * 150_000, 300_000),
+        ("<ul><li>x " * 20_000, 40_000),
+        ("<a x='>" * 200_000, 0),
+        ("<" * 1_000_000, 1),
+        ("<table>" + "<tr><td rowspan=9>a<td colspan=3>b" * 20_000, 40_000),
+    ],
+    ids=range(8),
+)
+def test_hard_pages_end_soon(source, n_words):
+    import time
+
+    began = time.perf_counter()
+    assert len(html_text.extract_text(source).split()) == n_words
+    assert time.perf_counter() - began < 30
+
+
+def random_page(rng, depth):
+    """(source, events) of a random piece: events are words, ("line", blank) and ("rows", lines)."""
+    word = lambda: rng.choice(["alpha", "beta", "it's", "x&amp;y", "<!-- c -->gamma", "<b>bold</b>", "<i title=it's>odd</i>", "<span hidden>no</span>delta"])
+    seen = {"x&amp;y": "x&y", "<!-- c -->gamma": "gamma", "<b>bold</b>": "bold", "<i title=it's>odd</i>": "odd", "<span hidden>no</span>delta": "delta"}
+
+    def words(n):
+        got = [word() for _ in range(n)]
+        return " ".join(got), [seen.get(w, w) for w in got]
+
+    def block(d, nested):
+        kind = rng.choice(["p", "div", "text", "list", "table", "gone", "h2"] if d else ["p", "text"])
+        close = lambda tag: rng.choice([f"</{tag}>", f"</{tag.upper()} >"])
+        if kind in ("p", "h2"):
+            text, got = words(rng.randrange(1, 4))
+            end = "" if kind == "p" and rng.random() < 0.5 else close(kind)
+            # an open paragraph goes on into text that follows, so an end tag of a block closes it here
+            return f"<{kind}>{text}{end}" + ("<div></div>" if not end else ""), [("line", not nested), *got, ("line", not nested)]
+        if kind == "text":
+            text, got = words(rng.randrange(1, 4))
+            return f" {text} ", got
+        if kind == "gone":
+            return "<div style='x:y; display : none'><p>no</div>", []
+        if kind == "div":
+            parts = [block(d - 1, nested) for _ in range(rng.randrange(1, 4))]
+            return "<div class=a>" + "".join(s for s, _ in parts) + close("div"), [("line", False), *(e for _, x in parts for e in x), ("line", False)]
+        if kind == "list":
+            tag, out, events = rng.choice(["ul", "ol"]), "", [("line", not nested)]
+            for k in range(rng.randrange(1, 4)):
+                text, got = words(rng.randrange(1, 3))
+                out += f"<li>{text}" + rng.choice(["", "</li>"])
+                events += [("line", False), "-" if tag == "ul" else f"{k + 1}.", *got, ("line", False)]
+            return f"<{tag}>{out}{close(tag)}" if not nested else "", events + [("line", not nested)] if not nested else []
+        rows, out = [], ""
+        for _ in range(rng.randrange(1, 4)):
+            out, row = out + "<tr>", []
+            for _ in range(rng.randrange(1, 4)):
+                text, got = words(rng.randrange(1, 3))
+                out += f"<td>{text}" + rng.choice(["", "</td>"])
+                row.append(" ".join(got))
+            rows.append(row)
+            out += rng.choice(["", "</tr>"])
+        wide = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+        return f"<table>{out}</table>", [("line", True), ("rows", ["  ".join(c.ljust(w) for c, w in zip(r, wide, strict=False)).rstrip() for r in rows]), ("line", True)]
+
+    parts = [block(depth, False) for _ in range(rng.randrange(1, 5))]
+    return "".join(s for s, _ in parts), [e for _, x in parts for e in x]
+
+
+def test_random_pages_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(600):
+        source, events = random_page(rng, 3)
+        lines, now, gap = [], [], False
+        for e in [*events, ("line", False)]:
+            if isinstance(e, str):
+                now.append(e)
+                continue
+            kind, value = e
+            for row in value if kind == "rows" else [" ".join(now)] if now else []:
+                if gap and lines:
+                    lines.append("")
+                gap = False
+                lines.append(row)
+            now, gap = [], gap or value is True
+        assert html_text.extract_text(source) == "\n".join(lines), source
+
+
 # ---- suffix dedup ----
 
 
