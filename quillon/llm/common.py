@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Rows whose key set may be broadcast after its count has been checked (two longs a row).
 BROADCAST_ROWS = 1_000_000
@@ -97,15 +98,46 @@ def bounded_sample(rows: DataFrame, key: str, most: int, by: str | None = None,
     return rows.where(hashed < share)
 
 
-def repeated(rows: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+def repeated(rows: DataFrame, key: str, partitions: int | None = None, local_min: int = 16, block: int = 1 << 18) -> DataFrame:
     """The rows whose ``key`` (a long) stands in two rows or more.
 
     One shuffle by key and a sort within partitions (both spill); sorted batches then stream through a
-    comparison of neighbours, so a key that any number of rows hold takes no memory of its own.
+    comparison of neighbours, so a key that any number of rows hold takes no memory of its own.  Rows of a
+    key that stands ``local_min`` times in one block of a task are known to repeat: they are dealt at random,
+    and one mark a block goes by key in their place, so that no key's rows land in one task.
     """
     import numpy as np
 
     at = rows.columns.index(key)
+    schema = rows.schema
+    wider = StructType([*(StructField(f.name, f.dataType) for f in schema), StructField("deal", LongType()), StructField("known", IntegerType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """known: 0 not yet, 1 repeats for certain, 2 a mark."""
+        held, n, blocks = [], 0, 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = table.column(at).to_numpy()
+            values, where, times = np.unique(keys, return_inverse=True, return_counts=True)
+            often = times >= local_min
+            known = often[where]
+            spread = np.where(known, np.arange(len(keys), dtype=np.int64) * 1_000_003 + blocks * 7919, keys)
+            yield from table.append_column("deal", pa.array(spread)).append_column("known", pa.array(known.astype(np.int32))).to_batches(max_chunksize=1 << 16)
+            if often.any():
+                marks = values[often]
+                columns = [pa.array(marks) if k == at else pa.nulls(len(marks), f.type) for k, f in enumerate(table.schema)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(marks), pa.array(np.full(len(marks), 2, dtype=np.int32))], names=[*table.schema.names, "deal", "known"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= block:
+                    yield from dealt()
+                    held, n, blocks = [], 0, blocks + 1
+        if held:
+            yield from dealt()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far, and whether the row before has its key
@@ -113,22 +145,59 @@ def repeated(rows: DataFrame, key: str, partitions: int | None = None) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column(at).to_numpy()
+            keys, known = batch.column(at).to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            batch = batch.select(list(range(batch.num_columns - 2)))
             same = np.zeros(len(keys) + 1, dtype=bool)
             same[1:-1] = keys[1:] == keys[:-1]
             if held is not None:
                 same[0] = held.column(at)[0].as_py() == int(keys[0])
-                if told or same[0]:
+                if last != 2 and (told or same[0] or last == 1):
                     yield held
-            keep = same[:-1] | same[1:]
+            keep = (same[:-1] | same[1:] | (known == 1)) & (known != 2)
             keep[-1] = False  # decided with the next batch
             yield batch.filter(pa.array(keep))
-            held, told = batch.slice(len(keys) - 1), bool(same[-2])
-        if held is not None and told:
+            held, told, last = batch.slice(len(keys) - 1), bool(same[-2]), int(known[-1])
+        if held is not None and last != 2 and (told or last == 1):
             yield held
 
-    dealt = rows.repartition(key) if partitions is None else rows.repartition(partitions, key)
-    return dealt.sortWithinPartitions(key).mapInArrow(run, rows.schema)
+    dealt = rows.mapInArrow(deal, wider)
+    dealt = dealt.repartition("deal") if partitions is None else dealt.repartition(partitions, "deal")
+    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+#: No more keys than this are hot at once: those that hold more than one row in so many.
+HOT_SHARE = 100_000
+
+
+def meet(rows: DataFrame, keys: DataFrame, key: str, weight: str, hot_min: int = 1000) -> DataFrame:
+    """``rows`` joined to ``keys`` on ``key``; ``weight`` tells how many rows hold a key, which stands once in ``keys``.
+
+    Keys of ``hot_min`` rows or more, and of more than one row in ``HOT_SHARE``, are met by broadcast (their
+    number is bounded by that) and their rows stay where they lie or are dealt at random; the others, none of
+    which has many rows, are joined by whatever plan their size asks for.  ``keys`` should be materialized.
+    """
+    least = max(hot_min, (keys.agg(F.sum(weight)).first()[0] or 0) // HOT_SHARE + 1)
+    extra = [c for c in keys.columns if c != key]
+    hot = keys.where(F.col(weight) >= least).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in extra))
+    cold = keys.where(F.col(weight) < least).select(F.col(key).alias("cold_key"), *(F.col(c).alias(f"cold_{c}") for c in extra))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    met = met.withColumn("deal_key", F.when(F.col("hot_key").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    met = met.join(cold, (F.col("deal_key") == F.col("cold_key")), "left").where(F.col("hot_key").isNotNull() | F.col("cold_key").isNotNull())
+    return met.select(*rows.columns, *(F.when(F.col("hot_key").isNotNull(), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in extra))
+
+
+def attach(pairs: DataFrame, side: DataFrame, key: str, other: str, value: str, alias: str, each: int = 5000) -> DataFrame:
+    """``pairs`` with the ``value`` that ``side`` (id, value) holds for ``key``, as ``alias``.
+
+    A key in many pairs is split: its row of ``side`` is repeated once for each ``each`` of its pairs, which are
+    dealt over the copies by ``other``.  ``pairs`` should be materialized.
+    """
+    least = max(each, pairs.count() // HOT_SHARE + 1)
+    hot = pairs.groupBy(F.col(key).alias("hot_key")).count().where(F.col("count") >= least).select("hot_key", (F.col("count") / each + 1).cast("int").alias("copies"))
+    hot = F.broadcast(materialize(hot, "hot-keys"))
+    dealt = pairs.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("hot_key", "copies")
+    spread = side.join(hot, F.col("id") == F.col("hot_key"), "left").select(F.col("id").alias(key), F.col(value).alias(alias), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(spread, [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:

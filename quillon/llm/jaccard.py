@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import binary_texts, components, materialize, repeated, small_side
+from quillon.llm.common import attach, binary_texts, components, materialize, meet, repeated, small_side
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -61,8 +61,66 @@ def bands(n: int, percent: int) -> range:
     return range(n.bit_length() - 1, (100 * n // percent).bit_length())
 
 
-def signatures(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
-    """What a set is indexed by: rare tokens of its prefix alone, frequent ones in pairs.
+class Frequent:
+    """Which tokens count as frequent: a bit for each range of token values, of a size that goes with their number.
+
+    2 ** 29 bits (64 MB) are the bound.  A rare token whose bit a frequent one has set counts as frequent
+    for all sets alike, which costs some work and no link.
+    """
+
+    MOST_BITS = 29
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+        self.marks = np.zeros(1 << max(0, bits - 3), dtype=np.uint8)
+
+    @classmethod
+    def size_for(cls, tokens: int) -> int:
+        return min(cls.MOST_BITS, max(16, (32 * tokens).bit_length()))
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def add(self, tokens: np.ndarray) -> Frequent:
+        at = self.places(tokens)
+        np.bitwise_or.at(self.marks, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return self
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        at = self.places(tokens)
+        return (self.marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    @classmethod
+    def gather(cls, tokens: DataFrame) -> Frequent:
+        """From a column of longs; the tokens stay on the executors, which send pieces of 8 kB of the marks."""
+        out = cls(cls.size_for(tokens.count()))
+        bits, piece = out.bits, 1 << 13
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pieces: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                for k in np.unique(at >> 16):
+                    own = at[at >> 16 == k] & 0xFFFF
+                    np.bitwise_or.at(pieces.setdefault(int(k), np.zeros(piece, dtype=np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], names=["piece", "marks"])
+
+        # tokens are dealt by piece, so each piece is sent once
+        place = F.shiftrightunsigned(tokens.columns[0], 64 - bits + 16) if bits > 16 else F.lit(0)
+        for row in tokens.repartition(place).mapInArrow(run, "piece long, marks binary").toLocalIterator():
+            own = np.frombuffer(row.marks, dtype=np.uint8)
+            out.marks[row.piece * piece : row.piece * piece + len(own)] |= own[: len(out.marks)]
+        return out
+
+
+def alone(tokens: np.ndarray) -> np.ndarray:
+    """The (odd) hash by which a rare token is indexed."""
+    return _mix(tokens ^ np.uint64(0xA5A5A5A5)) | np.uint64(1)
+
+
+def signatures(tokens: np.ndarray, heavy: Frequent, percent: int, also: Frequent | None = None) -> tuple[np.ndarray, int]:
+    """What a set is indexed by: rare tokens of its prefix alone (odd hashes), frequent ones in pairs (even ones);
+    and how many rare tokens it has, if all of them are indexed (else 0).  Tokens whose hash ``also`` marks are frequent too.
 
     Tokens are ordered rare ones first, frequent ones after, by hash within both classes.  A set may lack
     ``most_missing`` tokens of a linked one, so its prefix grows until it covers one more: each rare token
@@ -73,12 +131,11 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarra
     """
     need = most_missing(len(tokens), percent) + 1
     if len(tokens) < 2:
-        return np.zeros(0, dtype=np.uint64)  # links only with its copies
-    frequent = np.zeros(len(tokens), dtype=bool)
-    if len(heavy):
-        frequent = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+        return np.zeros(0, dtype=np.uint64), 0  # links only with its copies
+    frequent = heavy.of(tokens) if also is None else heavy.of(tokens) | also.of(alone(tokens))
     rare = tokens[~frequent][:need]
-    out = [_mix(rare ^ np.uint64(0xA5A5A5A5))]
+    one = np.uint64(1)
+    out = [alone(rare)]
     left = need - len(rare)
     if left > 0:
         common = tokens[frequent]
@@ -96,8 +153,60 @@ def signatures(tokens: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarra
                 if len(members) > 1:
                     i, j = map(np.array, zip(*combinations(range(len(members)), 2), strict=True))
                     values = np.array(members, dtype=np.uint64)
-                    out.append(_mix(_mix(values[i] + salt) * _MUL ^ values[j]))
-    return np.unique(np.concatenate(out))
+                    out.append(_mix(_mix(values[i] + salt) * _MUL ^ values[j]) & ~one)
+    return np.unique(np.concatenate(out)), len(rare) if left > 0 else 0
+
+
+def size_bands(percent: int, n: int) -> list[int]:
+    """Least sizes of bands up to that of ``n``, and the least size of the band after; linked sets are in one band or in neighbours."""
+    edges = [1]
+    while edges[-1] <= n:
+        edges.append(100 * edges[-1] // percent + 1)
+    return edges
+
+
+def most_different(x: int, y: int, percent: int) -> int:
+    """How many tokens in all can be in one only of two linked sets of up to ``x`` and ``y`` tokens."""
+    return (x + y) * (100 - percent) // (100 + percent)
+
+
+def combinations_of(tokens: np.ndarray, percent: int, spare: int, salt: int, lacking: int = 0) -> np.ndarray:
+    """Hashes of long token combinations, one of which two linked sets share.
+
+    Tokens are dealt by hash into classes.  Linked sets differ in ``most_different`` tokens at most, so with one
+    class more they have one whole class in common.  With ``spare`` = 1 there are half as many classes, one of
+    which differs in a single token, and each is cut by hash into four parts: three of them are in common.
+    How many tokens may differ goes with the bands of both sizes, so a set is indexed with its own band
+    and with both neighbours.  No partner has ``lacking`` of the tokens: where that is too many, no hash is made.
+    """
+    if len(tokens) < 2:
+        return np.zeros(0, dtype=np.uint64)
+    edges = size_bands(percent, int(100 * len(tokens) // percent + 1))
+    own = int(np.searchsorted(edges, len(tokens), "right")) - 1
+    tops = [e - 1 for e in edges[1:]] + [100 * edges[-1] // percent]
+    out = []
+    for low in (own - 1, own):
+        for high in {own, low + 1} if low == own else {own}:
+            if low < 0:
+                continue
+            most = most_different(tops[low], min(tops[high], 100 * tops[low] // percent), percent)
+            if not most or lacking > most:
+                continue  # such sets are equal: copies; or cannot be linked
+            classes = most // (1 + spare) + 1
+            level = np.uint64((low * 4 + (high - low)) * 16 + salt)
+            mixed = _mix(tokens ^ _mix(np.array([level + np.uint64(0x5EED)], dtype=np.uint64)))
+            of = (mixed % np.uint64(classes)).astype(np.int64)
+            values = _mix(mixed + np.uint64(0x77))
+            if spare:
+                parts = np.zeros(classes * 4, dtype=np.uint64)
+                np.add.at(parts, of * 4 + (values >> np.uint64(62)).astype(np.int64), values)
+                parts = parts.reshape(-1, 4)
+                sums = (parts.sum(axis=1, dtype=np.uint64)[:, None] - parts).ravel()
+            else:
+                sums = np.zeros(classes, dtype=np.uint64)
+                np.add.at(sums, of, values)
+            out.append(_mix(sums * _MUL ^ _mix(np.arange(len(sums), dtype=np.uint64) + (level << np.uint64(32)))))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
 
 def histogram(tokens: np.ndarray) -> bytes:
@@ -156,49 +265,65 @@ def _summaries(docs: DataFrame, size: int, block: int = 1 << 20, local_min: int
     return docs.mapInArrow(run, "doc_id long, n long, fp binary, keys array<long>, token long, times long, hist binary")
 
 
-def _crowded(entries: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs (a, b) of different groups among the entries of each signature that many share.
+def _crowded(entries: DataFrame, percent: int, chunk: int = 4096) -> DataFrame:
+    """Possible pairs (a, b) of different groups among the entries of signatures that many share.
 
-    ``entries``: (sig, doc_id, comp, n, hist).  A signature's entries stream by in order; their histograms
-    (256 bytes each) are compared in memory, sizes first, and only pairs that may be linked come out.
+    ``entries``: (sig, doc_id, comp, n, r, hist), see ``candidate_pairs``.  A signature's entries are dealt into chunks of about ``chunk``;
+    tasks compare two chunks each, sizes first, then histograms (256 bytes each), and only pairs that may be
+    linked come out.  Entries of the group that has most of a signature are never compared with one another:
+    they meet the chunks of the rest only.
     """
+    by_comp = entries.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("m"))
+    sizes = by_comp.groupBy("sig").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max("m").alias("m_main"), F.sum("m").alias("m_all"))
+    sizes = sizes.select("sig", "main", "m_all", F.ceil((F.col("m_all") - F.col("m_main")) / chunk).cast("int").alias("r_rest"), F.ceil(F.col("m_main") / chunk).cast("int").alias("r_main"))
+    sized = meet(entries, materialize(sizes, "crowds"), "sig", "m_all")
+    spot = F.xxhash64("doc_id")
+    own = F.when(F.col("comp") == F.col("main"), F.col("r_rest") + F.pmod(spot, F.col("r_main"))).otherwise(F.pmod(spot, F.greatest("r_rest", F.lit(1)))).cast("int")
+    last = F.when(F.col("comp") == F.col("main"), F.col("r_rest")).otherwise(F.col("r_rest") + F.col("r_main"))
+    dealt = sized.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0), last - 1)))
+    dealt = dealt.select("sig", F.least("own", "met").alias("low"), F.greatest("own", "met").alias("high"), "doc_id", "comp", "n", "hist", "own", "r")
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         table = pa.Table.from_batches(rows)
-        ids, comp, n = (table.column(k).to_numpy() for k in (1, 2, 3))
+        ids, comp, n = (table.column(k).to_numpy() for k in (3, 4, 5))
         order = np.argsort(n, kind="stable")
-        ids, comp, n = ids[order], comp[order], n[order]
-        hist = np.frombuffer(b"".join(table.column(4).to_pylist()), dtype=np.uint8).reshape(-1, 256)[order]
+        ids, comp, n, own, r = ids[order], comp[order], n[order], table.column(7).to_numpy()[order], table.column(8).to_numpy()[order]
+        hist = np.frombuffer(b"".join(table.column(6).to_pylist()), dtype=np.uint8).reshape(-1, 256)[order]
         full = (hist == 255).any(axis=1)
         last = np.searchsorted(n, 100 * n // percent, "right")
+        across = own.min() != own.max()  # two chunks: their inner pairs are another task's
         for k in range(len(n)):
-            for start in range(k + 1, last[k], 4096):
-                at = np.arange(start, min(start + 4096, last[k]))
-                at = at[comp[at] != comp[k]]
+            at = np.arange(k + 1, last[k])
+            at = at[(comp[at] != comp[k]) & ((own[at] != own[k]) | (not across)) & ((r[at] + r[k]) * (100 + percent) <= (n[at] + n[k]) * (100 - percent))]
+            if len(at):
+                most = np.minimum(hist[at], hist[k]).sum(axis=1, dtype=np.int64)
+                at = at[(100 * most >= percent * (n[k] + n[at] - most)) | full[at] | full[k]]
                 if len(at):
-                    most = np.minimum(hist[at], hist[k]).sum(axis=1, dtype=np.int64)
-                    at = at[(100 * most >= percent * (n[k] + n[at] - most)) | full[at] | full[k]]
-                    if len(at):
-                        yield np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])
+                    yield np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[pa.RecordBatch] = []
+        now = None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for x, y in pairs(group):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(sigs[1:] != sigs[:-1]) + 1), len(sigs)]
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if group and group[0].column(0)[0].as_py() != int(sigs[a]):
-                    for x, y in pairs(group):
-                        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                if group and now != tuple(keys[a]):
+                    yield from found()
                     group = []
+                now = tuple(keys[a])
                 group.append(batch.slice(a, b - a))
         if group:
-            for x, y in pairs(group):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            yield from found()
 
-    return entries.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "a long, b long")
+    return dealt.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -219,7 +344,8 @@ def verify(docs: DataFrame, pairs: DataFrame, hists: DataFrame, size: int, perce
     Histograms (id, hist) rule out nearly all pairs that are not: no linked pair fails that test.  Sets are
     made again, for the documents of the other pairs only.
     """
-    pairs = pairs.join(hists.select(F.col("id").alias("a"), F.col("hist").alias("hist_a")), "a").join(hists.select(F.col("id").alias("b"), F.col("hist").alias("hist_b")), "b")
+    pairs = materialize(pairs, "pairs")
+    pairs = attach(attach(pairs, hists, "a", "b", "hist", "hist_a"), hists, "b", "a", "hist", "hist_b")
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +355,7 @@ def verify(docs: DataFrame, pairs: DataFrame, hists: DataFrame, size: int, perce
     pairs = materialize(pairs.select("a", "b", "hist_a", "hist_b").mapInArrow(screen, "a long, b long"), "screened")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "involved")
     sets = _sets(docs.join(small_side(ids), "doc_id", "left_semi"), size)
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
+    met = attach(attach(pairs, sets, "a", "b", "tokens", "tokens_a"), sets, "b", "a", "tokens", "tokens_b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,6 +373,90 @@ def verify(docs: DataFrame, pairs: DataFrame, hists: DataFrame, size: int, perce
     return met.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _index(docs: DataFrame, size: int, make) -> DataFrame:
+    """(sig, doc_id, r) of the hashes and the number that ``make`` gives for each document's set and ``r``; hashes that stand twice or more."""
+    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64()), ("r", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        for batch in batches:
+            for part, texts in binary_texts(batch, "text"):
+                found, rs = zip(*(make(shingle_set(t, size, memo), r) for t, r in zip(texts, part.column(2).to_pylist(), strict=True)), strict=True)
+                sizes = [len(x) for x in found]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(np.repeat(np.array(rs, dtype=np.int64), sizes))], schema=schema)
+
+    return repeated(docs.where("doc_id is not null").select("doc_id", "text", "r").mapInArrow(run, "sig long, doc_id long, r long"), "sig")
+
+
+def _possible(entries: DataFrame, percent: int, name: str) -> DataFrame:
+    """(sig, doc_id, comp, n, r, many) of entries (sig, doc_id, comp, n, r) whose signature has one of another group that may be linked.
+
+    Of two documents that share no indexed rare token, each has all of its ``r`` to itself; where the least
+    ``r`` of a signature added is more than linked sets of such sizes may differ in, an entry has no partner in it.
+    """
+    several = entries.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many"), F.min("r").alias("least_r"), F.max("n").alias("most_n"))
+    met = meet(entries, materialize(several.where("low <> high").select("sig", "many", "least_r", "most_n"), "several"), "sig", "many")
+    partner = F.least(F.col("most_n"), F.floor(100 * F.col("n") / percent))
+    met = met.where((F.col("r") + F.col("least_r")) * (100 + percent) <= (F.col("n") + partner) * (100 - percent))
+    return materialize(met.select("sig", "doc_id", "comp", "n", "r", "many"), name)
+
+
+def _pairs_of(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that share a signature and that sizes and rare tokens allow a link."""
+    left, right = (mixed.select("sig", F.col("doc_id").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}"), F.col("r").alias(f"r_{x}")) for x in "ab")
+    sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("comp_a") < F.col("comp_b"))
+    apart = (F.col("r_a") + F.col("r_b")) * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return left.join(right, "sig").where(sized & apart).select("a", "b")
+
+
+def candidate_pairs(docs: DataFrame, groups: DataFrame, hists: DataFrame, heavy, *, size: int, percent: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) of different groups, among which are all that are linked.
+
+    Signatures of ``signatures`` come first.  Where more than ``crowd`` entries of several groups share one, no
+    pair is made: its documents are indexed again by longer and longer token combinations, which linked ones
+    still share (``combinations_of``).  What even the longest leave crowded is compared in chunks.
+
+    A document of pairs of frequent tokens has all its ``r`` rare tokens indexed alone.  Whoever shares one of
+    them is found there, so all others lack them: they count against a link.  A document with a crowded
+    rare token has ``r`` 0.  Where many have one, their tokens turn out frequent in the whole corpus: they are
+    marked so, and the first index is made again (twice at most).
+    """
+    context = docs.sparkSession.sparkContext
+    member = groups.select(F.col("rep").alias("doc_id"), "comp", "n")
+    docs = docs.withColumn("r", F.lit(0).cast("long"))
+    also, marked = None, None
+    for again in range(3):
+        make = lambda t, r, also=also: signatures(t, heavy.value, percent, also.value if also else None)
+        every = materialize(_index(docs, size, make).join(member, "doc_id"), "entries")
+        single = _possible(every.where("sig & 1 = 1").withColumn("r", F.lit(0).cast("long")), percent, "mixed-rare")
+        packed = single.where(F.col("many") > crowd)
+        if again == 2 or 20 * packed.count() <= single.count():
+            break
+        new = packed.select("sig").distinct()
+        marked = materialize(new if marked is None else marked.unionByName(new), "crowded-tokens")
+        also = context.broadcast(Frequent.gather(marked))
+    crowds = materialize(packed.select("doc_id").distinct(), "crowded-rare")
+    found = _pairs_of(single.where(F.col("many") <= crowd), percent)
+    others = every.where("sig & 1 = 0").join(small_side(crowds.withColumn("zero", F.lit(True))), "doc_id", "left")
+    others = others.select("sig", "doc_id", "comp", "n", F.when(F.col("zero"), F.lit(0)).otherwise(F.col("r")).cast("long").alias("r"))
+    more = crowds.select("doc_id", F.lit(0).cast("long").alias("r"))
+    for spare, entries in enumerate((others, None, None)):
+        if entries is None:  # longer combinations, of what is still crowded
+            todo = docs.drop("r").join(small_side(ids), "doc_id")
+            longer = lambda t, r, spare=spare: (combinations_of(t, percent, spare - 1, spare, r), r)
+            entries = materialize(_index(todo, size, longer).join(member, "doc_id"), "entries")
+        mixed = _possible(entries, percent, "mixed")
+        found = found.unionByName(_pairs_of(mixed.where(F.col("many") <= crowd), percent))
+        crowded = mixed.where(F.col("many") > crowd)
+        ids = crowded.select("doc_id", "r")
+        ids = materialize((ids if spare else ids.unionByName(more)).groupBy("doc_id").agg(F.min("r").alias("r")), "crowded")
+        if ids.isEmpty():
+            return found.distinct()
+    entries = crowded.join(hists.select(F.col("id").alias("doc_id"), "hist"), "doc_id").select("sig", "doc_id", "comp", "n", "r", "hist")
+    return found.unionByName(_crowded(materialize(entries, "still-crowded"), percent)).distinct()
+
+
 def similarity_groups(
     docs: DataFrame,
     *,
@@ -255,7 +465,6 @@ def similarity_groups(
     size: int = 5,
     percent: int = 80,
     heavy_min: int = 20,
-    max_heavy: int = 100_000,
     crowd: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups that links of ``percent`` / 100 Jaccard make.
@@ -263,12 +472,15 @@ def similarity_groups(
     1. One pass gives each document's set size, fingerprint and sketches; copies of a set become one class.
     2. Classes that share sketches with the smallest id of a sketch are verified against it (one candidate
        a class and sketch): this joins large groups of near copies by stars, without all their pairs.
-    3. A second pass indexes prefixes (see ``signatures``, whose ``heavy`` is sorted).  Only index entries of different groups so far
+    3. A second pass indexes prefixes (see ``signatures``).  Only index entries of different groups so far
        meet, so that no pair within a group is made and every link between groups is.  Sizes are compared
-       first, then histograms of the sets; whole sets are verified.  Where more than ``crowd`` entries share a
-       signature, histograms are compared before any pair is made.
-    4. Groups come from alternating star rounds.  Only counts and the tokens counted as frequent (at most
-       ``max_heavy``) reach the driver.
+       first, then histograms of the sets; whole sets are verified.  Documents of a signature that more than
+       ``crowd`` entries share are indexed again by longer token combinations (``candidate_pairs``).
+    4. Groups come from alternating star rounds.  Only counts and the marks of frequent tokens (64 MB at
+       most, see ``Frequent``) reach the driver.
+
+    No key's rows land in one task: signatures, sketches and star centres that many rows hold are met by
+    broadcast of their bounded number, or split.
 
     Defined cases: null and wordless texts have an empty set and link with nothing; a text shorter than a
     shingle is one shingle; rows that repeat an id are one node; a row with a null id links with nothing
@@ -282,40 +494,19 @@ def similarity_groups(
     classes = materialize(classes, "classes")
     hists = classes.select(F.col("rep").alias("id"), "hist")
     # stars around the smallest id of each sketch
-    keyed = classes.select("rep", "n", F.posexplode("keys").alias("k", "key"))
-    leaders = keyed.groupBy("k", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    keyed = classes.select("rep", F.posexplode("keys").alias("k", "key")).select("rep", F.xxhash64("k", "key").alias("sketch"))
+    leaders = materialize(keyed.groupBy("sketch").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1"), "leaders")
     stars = (
-        keyed.join(leaders, ["k", "key"]).where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("agree"))
+        meet(keyed, leaders, "sketch", "many").where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("agree"))
         .where(F.col("agree") >= SKETCHES // 2).select("a", "b")
     )
     first = components(verify(docs, stars, hists, size, percent))
     first = materialize(first, "first")
     groups = classes.select("rep", "n", "fp").join(first.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("rep", "n", "fp", F.coalesce("comp", "rep").alias("comp"))
     groups = materialize(groups, "groups")
-    # frequent tokens, a bounded number
-    heavy = rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= heavy_min).orderBy(F.desc("times"), "token").limit(max_heavy).select("token")
-    shipped = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.token for r in heavy.collect()], dtype=np.int64).view(np.uint64)))
-    schema = pa.schema([("sig", pa.int64()), ("doc_id", pa.int64())])
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Hashes()
-        for batch in batches:
-            for part, texts in binary_texts(batch, "text"):
-                found = [signatures(shingle_set(t, size, memo), shipped.value, percent) for t in texts]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)), pa.array(ids.astype(np.int64))], schema=schema)
-
-    entries = repeated(docs.where("doc_id is not null").mapInArrow(index, "sig long, doc_id long"), "sig")
-    shared = materialize(entries, "entries").join(groups.select(F.col("rep").alias("doc_id"), "comp", "n"), "doc_id")
-    several = shared.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("many")).where("low <> high").select("sig", "many")
-    every = materialize(shared.join(several, "sig"), "mixed")
-    crowded = every.where(F.col("many") > crowd).join(hists.select(F.col("id").alias("doc_id"), "hist"), "doc_id").select("sig", "doc_id", "comp", "n", "hist")
-    mixed = every.where(F.col("many") <= crowd)
-    left = mixed.select("sig", F.col("doc_id").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"))
-    right = mixed.select("sig", F.col("doc_id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    sized = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("comp_a") < F.col("comp_b"))
-    pairs = left.join(right, "sig").where(sized).select("a", "b").unionByName(_crowded(crowded, percent)).distinct()
-    links = verify(docs, pairs, hists, size, percent)
+    heavy = materialize(rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= heavy_min).select("token"), "heavy")
+    shipped = docs.sparkSession.sparkContext.broadcast(Frequent.gather(heavy))
+    links = verify(docs, candidate_pairs(docs, groups, hists, shipped, size=size, percent=percent, crowd=crowd), hists, size, percent)
     of = groups.select("rep", "comp")
     over = links.join(of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = components(over).select(F.col("node").alias("comp"), F.col("comp").alias("root"))

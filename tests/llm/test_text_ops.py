@@ -131,7 +131,11 @@ def test_signatures_meet_for_linked_sets():
         if len(a) == len(b) == common or 100 * common < 85 * (len(a) + len(b) - common) or not common:
             continue
         heavy = np.sort(rng.choice(a, int(rng.integers(0, len(a) + 1)), replace=False))
-        assert len(np.intersect1d(jaccard.signatures(a, heavy, 85), jaccard.signatures(b, heavy, 85)))
+        marks = jaccard.Frequent(jaccard.Frequent.size_for(len(heavy))).add(heavy)
+        assert marks.of(heavy).all()
+        assert len(np.intersect1d(jaccard.signatures(a, marks, 85)[0], jaccard.signatures(b, marks, 85)[0]))
+        for spare in (0, 1):
+            assert len(np.intersect1d(jaccard.combinations_of(a, 85, spare, 3), jaccard.combinations_of(b, 85, spare, 3)))
 
 
 # ---- toxicity ----
@@ -514,3 +518,35 @@ def test_loser_tree_merges():
     for shared, key, _ in got:
         assert shared == suffix_dedup.common_prefix(before, key, 0)
         before = key
+
+
+def test_crowded_chunks_by_brute_force(spark):
+    """Chunks of a crowded signature find every pair of different groups that sizes and histograms allow, once or more."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(rng.integers(20, 40)), dtype=np.uint64)) for _ in range(6)]
+    rows = []
+    for k in range(90):
+        base = sets[k % 6]
+        tokens = np.unique(np.concatenate([base[rng.random(len(base)) < 0.97], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)]))
+        rows.append((k % 2, k, 7 if k % 3 else k, len(tokens), 0, bytearray(jaccard.histogram(tokens))))
+    entries = spark.createDataFrame(rows, "sig long, doc_id long, comp long, n long, r long, hist binary")
+    got = {(r.a, r.b) for r in jaccard._crowded(entries, 85, chunk=8).collect()}
+    want = set()
+    for sig, i, c, n, _, h in rows:
+        for sig2, j, c2, m, _, g in rows:
+            if i < j and sig == sig2 and c != c2 and 100 * min(n, m) >= 85 * max(n, m) and jaccard.possible(np.frombuffer(h, np.uint8), np.frombuffer(g, np.uint8), 85):
+                want.add((i, j))
+    assert got == want and want
+
+
+def test_repeated_keys_hot_and_cold(spark):
+    from quillon.llm.common import meet, repeated
+
+    rows = [(1, k) for k in range(400)] + [(2, 1000), (3, 1001), (3, 1002), (4, 1003)] + [(5 + k % 7, 2000 + k) for k in range(70)]
+    table = spark.createDataFrame(rows, "sig long, doc_id long").repartition(5)
+    for least, block in ((2, 8), (16, 1 << 18), (16, 3)):
+        got = sorted(map(tuple, repeated(table, "sig", local_min=least, block=block).collect()))
+        assert got == sorted(r for r in rows if r[0] not in (2, 4))
+    keys = spark.createDataFrame([(1, 400, "a"), (3, 2, "b"), (99, 5, "c")], "sig long, many long, name string")
+    for hot in (1, 100, 10_000):
+        assert sorted(map(tuple, meet(table, keys, "sig", "many", hot_min=hot).collect())) == sorted((*r, *((400, "a") if r[0] == 1 else (2, "b"))) for r in rows if r[0] in (1, 3))
