@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,8 +98,8 @@ def bounded_sample(rows: DataFrame, key: str, most: int, by: str | None = None,
     return rows.where(hashed < share)
 
 
-def repeated(rows: DataFrame, key: str, partitions: int | None = None, local_min: int = 16, block: int = 1 << 18) -> DataFrame:
-    """The rows whose ``key`` (a long) stands in two rows or more.
+def repeated(source: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, key: str, local_min: int = 16, block: int = 1 << 17) -> DataFrame:
+    """The rows that ``make`` gives for batches of ``source`` whose ``key`` (a long) stands in two rows or more.
 
     One shuffle by key and a sort within partitions (both spill); sorted batches then stream through a
     comparison of neighbours, so a key that any number of rows hold takes no memory of its own.  Rows of a
@@ -108,8 +108,8 @@ def repeated(rows: DataFrame, key: str, partitions: int | None = None, local_min
     """
     import numpy as np
 
-    at = rows.columns.index(key)
-    schema = rows.schema
+    schema = StructType.fromDDL(schema)
+    at = schema.names.index(key)
     wider = StructType([*(StructField(f.name, f.dataType) for f in schema), StructField("deal", LongType()), StructField("known", IntegerType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,7 @@ def repeated(rows: DataFrame, key: str, partitions: int | None = None, local_min
                 columns = [pa.array(marks) if k == at else pa.nulls(len(marks), f.type) for k, f in enumerate(table.schema)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(marks), pa.array(np.full(len(marks), 2, dtype=np.int32))], names=[*table.schema.names, "deal", "known"])
 
-        for batch in batches:
+        for batch in make(batches):
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
@@ -160,9 +160,7 @@ def repeated(rows: DataFrame, key: str, partitions: int | None = None, local_min
         if held is not None and last != 2 and (told or last == 1):
             yield held
 
-    dealt = rows.mapInArrow(deal, wider)
-    dealt = dealt.repartition("deal") if partitions is None else dealt.repartition(partitions, "deal")
-    return dealt.sortWithinPartitions(key).mapInArrow(run, schema)
+    return source.mapInArrow(deal, wider).repartition("deal").sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 #: No more keys than this are hot at once: those that hold more than one row in so many.

@@ -386,7 +386,7 @@ def _index(docs: DataFrame, size: int, make) -> DataFrame:
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(np.repeat(np.array(rs, dtype=np.int64), sizes))], schema=schema)
 
-    return repeated(docs.where("doc_id is not null").select("doc_id", "text", "r").mapInArrow(run, "sig long, doc_id long, r long"), "sig")
+    return repeated(docs.where("doc_id is not null").select("doc_id", "text", "r"), run, "sig long, doc_id long, r long", "sig")
 
 
 def _possible(entries: DataFrame, percent: int, name: str) -> DataFrame:
@@ -410,28 +410,31 @@ def _pairs_of(mixed: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "sig").where(sized & apart).select("a", "b")
 
 
-def candidate_pairs(docs: DataFrame, groups: DataFrame, hists: DataFrame, heavy, *, size: int, percent: int, crowd: int) -> DataFrame:
+def candidate_pairs(docs: DataFrame, groups: DataFrame, hists: DataFrame, heavy, *, size: int, percent: int, crowd: int, cheap: int) -> DataFrame:
     """Pairs (a, b) of different groups, among which are all that are linked.
 
     Signatures of ``signatures`` come first.  Where more than ``crowd`` entries of several groups share one, no
-    pair is made: its documents are indexed again by longer and longer token combinations, which linked ones
-    still share (``combinations_of``).  What even the longest leave crowded is compared in chunks.
+    pair is made.  While comparing histograms within such signatures costs no more than ``cheap`` comparisons a
+    document, they are compared in chunks.  Beyond, tokens that turn out frequent in the whole corpus are
+    marked so and the first index is made again (twice at most), and the documents of what is still crowded are
+    indexed by longer and longer token combinations, which linked ones still share (``combinations_of``).
 
     A document of pairs of frequent tokens has all its ``r`` rare tokens indexed alone.  Whoever shares one of
     them is found there, so all others lack them: they count against a link.  A document with a crowded
-    rare token has ``r`` 0.  Where many have one, their tokens turn out frequent in the whole corpus: they are
-    marked so, and the first index is made again (twice at most).
+    rare token has ``r`` 0.
     """
     context = docs.sparkSession.sparkContext
     member = groups.select(F.col("rep").alias("doc_id"), "comp", "n")
     docs = docs.withColumn("r", F.lit(0).cast("long"))
+    bound = cheap * max(1, groups.count())
+    cost = lambda e: e.agg(F.sum(F.col("many").cast("double"))).first()[0] or 0.0  # noqa: E731  each entry meets its signature's others
     also, marked = None, None
     for again in range(3):
         make = lambda t, r, also=also: signatures(t, heavy.value, percent, also.value if also else None)
         every = materialize(_index(docs, size, make).join(member, "doc_id"), "entries")
         single = _possible(every.where("sig & 1 = 1").withColumn("r", F.lit(0).cast("long")), percent, "mixed-rare")
         packed = single.where(F.col("many") > crowd)
-        if again == 2 or 20 * packed.count() <= single.count():
+        if again == 2 or cost(packed) <= bound:
             break
         new = packed.select("sig").distinct()
         marked = materialize(new if marked is None else marked.unionByName(new), "crowded-tokens")
@@ -440,21 +443,20 @@ def candidate_pairs(docs: DataFrame, groups: DataFrame, hists: DataFrame, heavy,
     found = _pairs_of(single.where(F.col("many") <= crowd), percent)
     others = every.where("sig & 1 = 0").join(small_side(crowds.withColumn("zero", F.lit(True))), "doc_id", "left")
     others = others.select("sig", "doc_id", "comp", "n", F.when(F.col("zero"), F.lit(0)).otherwise(F.col("r")).cast("long").alias("r"))
-    more = crowds.select("doc_id", F.lit(0).cast("long").alias("r"))
-    for spare, entries in enumerate((others, None, None)):
-        if entries is None:  # longer combinations, of what is still crowded
-            todo = docs.drop("r").join(small_side(ids), "doc_id")
-            longer = lambda t, r, spare=spare: (combinations_of(t, percent, spare - 1, spare, r), r)
-            entries = materialize(_index(todo, size, longer).join(member, "doc_id"), "entries")
+    mixed = _possible(others, percent, "mixed")
+    found = found.unionByName(_pairs_of(mixed.where(F.col("many") <= crowd), percent))
+    crowded = packed.unionByName(mixed.where(F.col("many") > crowd))
+    for spare in (0, 1):  # longer combinations, of what is still crowded
+        if cost(crowded) <= bound:
+            break
+        ids = materialize(crowded.groupBy("doc_id").agg(F.min("r").alias("r")), "crowded")
+        longer = lambda t, r, spare=spare: (combinations_of(t, percent, spare, spare + 1, r), r)
+        entries = materialize(_index(docs.drop("r").join(small_side(ids), "doc_id"), size, longer).join(member, "doc_id"), "entries")
         mixed = _possible(entries, percent, "mixed")
         found = found.unionByName(_pairs_of(mixed.where(F.col("many") <= crowd), percent))
         crowded = mixed.where(F.col("many") > crowd)
-        ids = crowded.select("doc_id", "r")
-        ids = materialize((ids if spare else ids.unionByName(more)).groupBy("doc_id").agg(F.min("r").alias("r")), "crowded")
-        if ids.isEmpty():
-            return found.distinct()
-    entries = crowded.join(hists.select(F.col("id").alias("doc_id"), "hist"), "doc_id").select("sig", "doc_id", "comp", "n", "r", "hist")
-    return found.unionByName(_crowded(materialize(entries, "still-crowded"), percent)).distinct()
+    crowded = materialize(crowded.join(hists.select(F.col("id").alias("doc_id"), "hist"), "doc_id").select("sig", "doc_id", "comp", "n", "r", "hist"), "still-crowded")
+    return found.distinct() if crowded.isEmpty() else found.unionByName(_crowded(crowded, percent)).distinct()
 
 
 def similarity_groups(
@@ -466,6 +468,7 @@ def similarity_groups(
     percent: int = 80,
     heavy_min: int = 20,
     crowd: int = 64,
+    cheap: int = 200,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: groups that links of ``percent`` / 100 Jaccard make.
 
@@ -475,7 +478,7 @@ def similarity_groups(
     3. A second pass indexes prefixes (see ``signatures``).  Only index entries of different groups so far
        meet, so that no pair within a group is made and every link between groups is.  Sizes are compared
        first, then histograms of the sets; whole sets are verified.  Documents of a signature that more than
-       ``crowd`` entries share are indexed again by longer token combinations (``candidate_pairs``).
+       ``crowd`` entries share are compared in chunks, or indexed again by longer token combinations (``candidate_pairs``).
     4. Groups come from alternating star rounds.  Only counts and the marks of frequent tokens (64 MB at
        most, see ``Frequent``) reach the driver.
 
@@ -506,7 +509,7 @@ def similarity_groups(
     groups = materialize(groups, "groups")
     heavy = materialize(rows.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= heavy_min).select("token"), "heavy")
     shipped = docs.sparkSession.sparkContext.broadcast(Frequent.gather(heavy))
-    links = verify(docs, candidate_pairs(docs, groups, hists, shipped, size=size, percent=percent, crowd=crowd), hists, size, percent)
+    links = verify(docs, candidate_pairs(docs, groups, hists, shipped, size=size, percent=percent, crowd=crowd, cheap=cheap), hists, size, percent)
     of = groups.select("rep", "comp")
     over = links.join(of.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     last = components(over).select(F.col("node").alias("comp"), F.col("comp").alias("root"))

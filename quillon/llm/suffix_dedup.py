@@ -7,7 +7,6 @@ they know to be common.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,6 +205,7 @@ def _pack(first: np.ndarray, last: np.ndarray, at: np.ndarray, mark: int) -> np.
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
+    """(gram, doc_id, place) of the anchors of all texts whose gram stands at two places or more."""
     schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pc.take(ids, rows), pa.array(np.concatenate(places))], schema=schema)
 
-    return keyed.mapInArrow(run, "gram long, doc_id long, place long")
+    return repeated(keyed, run, "gram long, doc_id long, place long", "gram")
 
 
 _RUN = "part int, doc_id binary, place binary, gram binary, shared binary, sizes binary, tails binary, n long"
@@ -392,6 +392,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row: UTF-8 bytes under no string of ``length``
     bytes that also starts earlier (in a smaller id, or before in the same document).
 
+    ``length`` is 64 to 111: places hold a window's and a gram's distance in six bits each.
+
     0. Texts that are whole copies of an earlier one are found by hash and removed whole.
     1. Sampling that loses nothing: each window of ``length`` bytes is stood for by its gram of least hash;
        windows whose gram stands at one place only repeat nowhere and go no further.
@@ -404,6 +406,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     others; rows with equal id and text are one document and get one answer, those with equal id and other
     text are ordered by start, then by a hash of the text; an empty table gives an empty table; other columns are ignored.
     """
+    if not GRAM + 16 <= length <= GRAM + 63:
+        raise ValueError("length: 64 to 111")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or 4 * n
@@ -411,7 +415,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = materialize(_copies(keyed), "copies")
     # one exchange of texts serves both joins below; the filter, always true, is what the planner adds to one of them
     texts = _pressed(keyed).where("doc_id is not null and mark is not null").repartition(n, "doc_id", "mark")
-    found = repeated(_anchor_rows(keyed, length), "gram").select("doc_id", F.col("place").bitwiseAND(_TEXT_BITS).alias("mark"), "gram", "place")
+    found = _anchor_rows(keyed, length).select("doc_id", F.col("place").bitwiseAND(_TEXT_BITS).alias("mark"), "gram", "place")
     by_doc = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("place", "gram")).alias("x")).join(copies, ["doc_id", "mark"], "left_anti")
     once = texts.join(by_doc.select("doc_id", "mark", F.col("x.gram").alias("grams"), F.col("x.place").alias("places")), ["doc_id", "mark"]).select("doc_id", "data", "grams", "places")
     merged = _merge(_runs(once, parts, length).repartition("part").sortWithinPartitions("part"), length)
@@ -447,7 +451,3 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, schema.types[1:], strict=True))], schema=schema)
 
     return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -104,8 +104,8 @@ def brute_groups(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_groups_by_brute_force(spark, crowd):
+@pytest.mark.parametrize(("crowd", "cheap"), [(64, 200), (2, 200), (2, 0)])
+def test_groups_by_brute_force(spark, crowd, cheap):
     rng, rows = random.Random(3), [(0, None), (1, ""), (2, "a"), (3, "A"), (4, "a b c")]
     for g in range(8):
         base = prose(g, 80).split()
@@ -116,7 +116,7 @@ def test_groups_by_brute_force(spark, crowd):
             rows.append((len(rows), " ".join(w)))
     shared = prose(99, 30)
     rows += [(len(rows) + k, f"{shared} {prose(200 + k, 40)}") for k in range(30)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_groups(frame(spark, rows), size=4, percent=85, heavy_min=6, crowd=crowd).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_groups(frame(spark, rows), size=4, percent=85, heavy_min=6, crowd=crowd, cheap=cheap).collect()}
     assert got == brute_groups(rows, 4, 85)
 
 
@@ -502,6 +502,8 @@ def test_repeats_by_brute_force(spark):
     odd = suffix_dedup.remove_repeats(frame(spark, [(None, prose(1, 50)), (5, prose(1, 50)), (5, prose(1, 50))])).collect()
     assert sorted((r.doc_id is None, r.n_removed) for r in odd) == [(False, len(prose(1, 50))), (False, len(prose(1, 50))), (True, 0)]
     assert suffix_dedup.remove_repeats(frame(spark, []).where("false")).count() == 0
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(frame(spark, rows), length=200)
 
 
 def test_loser_tree_merges():
@@ -545,7 +547,7 @@ def test_repeated_keys_hot_and_cold(spark):
     rows = [(1, k) for k in range(400)] + [(2, 1000), (3, 1001), (3, 1002), (4, 1003)] + [(5 + k % 7, 2000 + k) for k in range(70)]
     table = spark.createDataFrame(rows, "sig long, doc_id long").repartition(5)
     for least, block in ((2, 8), (16, 1 << 18), (16, 3)):
-        got = sorted(map(tuple, repeated(table, "sig", local_min=least, block=block).collect()))
+        got = sorted(map(tuple, repeated(table, lambda b: b, "sig long, doc_id long", "sig", local_min=least, block=block).collect()))
         assert got == sorted(r for r in rows if r[0] not in (2, 4))
     keys = spark.createDataFrame([(1, 400, "a"), (3, 2, "b"), (99, 5, "c")], "sig long, many long, name string")
     for hot in (1, 100, 10_000):
