@@ -222,7 +222,7 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pc.take(ids, rows), pa.array(np.concatenate(places))], schema=schema)
 
-    return repeated(keyed, run, "gram long, doc_id long, place long", "gram")
+    return repeated(keyed.mapInArrow(run, "gram long, doc_id long, place long"), "gram")
 
 
 _RUN = "part int, doc_id binary, place binary, gram binary, shared binary, sizes binary, tails binary, n long"
