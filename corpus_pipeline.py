@@ -22,11 +22,12 @@ def _documents(like: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
+    """Documents without a language (no text, or no letter in it) go; where no language could be learned, the others stay."""
     model = langid.fit(docs.where(fold("doc_id", 4) != 2))
     lang, score = free_names(docs, "lang", "score")
     found = langid.identify(docs, model, lang_out=lang, score_out=score)
-    return found.where(F.col(lang) != langid.UNDETERMINED).select(*map(named, docs.columns))
+    known = F.col(lang) != langid.UNDETERMINED if model.langs else F.col("text").rlike(r"\p{L}")
+    return found.where(known).select(*map(named, docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
