@@ -110,3 +110,12 @@ def test_lines_of_one_long_document(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     assert time.perf_counter() - began < 60
     assert (got[0].n_lines, got[0].n_dropped) == (n, n // 1000) and got[0].text == "\n".join(f"line {k}" for k in range(n) if k % 1000)
+
+
+def test_language_stage_without_languages(spark):
+    """Where no row has a language, only rows without a letter go."""
+    import corpus_pipeline
+
+    rows = [(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "été", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 4]
