@@ -98,12 +98,28 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 _COMMON = re.compile("[\t\n\r\x20-\x7e¡-¬®-ɏ‐-‧‰-⁞€]*")
 
 
+def _ranked_bytes(spec: dict) -> bool:
+    """Whether a tokenizer file is plain byte-level BPE, split by the usual pattern, with ids in the order of its merges."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or spec.get("truncation"):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(x, -1) for x in merged]
+    added = {x["content"] for x in spec.get("added_tokens", [])}
+    rest = [x for x in model["vocab"].keys() - set(merged) if x not in added]
+    return len(rest) == 256 and all(len(x) == 1 for x in rest) and all(x < y for x, y in zip([max(model["vocab"][x] for x in rest), *ids], ids))
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
     """A function from texts to id lists, equal to ``tokenizers`` on the file at ``path``.
 
-    The vocabulary's ids are merge ranks, which lets the faster BPE engine read them; texts with an
-    added token's string or rarer code points go through ``tokenizers`` itself.
+    Where the file is a byte-level BPE whose ids are merge ranks, the faster BPE engine reads them; texts with an
+    added token's string or rarer code points, and all texts of other files, go through ``tokenizers`` itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -114,6 +130,8 @@ def _encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not _ranked_bytes(spec):
+        return lambda text: plain().encode(text, add_special_tokens=False).ids
     added = [x["content"] for x in spec.get("added_tokens", [])]
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}

@@ -1,6 +1,8 @@
 """Small fixtures with nulls, empty and long texts, ties, repeats, clashing columns; brute force where SQL cannot."""
 
 import hashlib
+import json
+import math
 import random
 import re
 import zlib
@@ -65,6 +67,54 @@ def test_language(spark):
     assert langid.identify(docs, langid.fit(docs.where("false"))).first().lang_pred == "und"
 
 
+def plain_bucket(gram, bits):
+    h = 0
+    for n, c in enumerate(gram, start=1):
+        h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) + n)
+    return ((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 32 - bits
+
+
+def plain_counts(text, orders, bits):
+    low = text.lower()
+    return Counter(plain_bucket(low[i : i + n], bits) for n in orders for i in range(len(low) - n + 1))
+
+
+@pytest.mark.parametrize("chunk", [5, 64, 1 << 18])
+def test_grams_are_those_of_each_text(monkeypatch, chunk):
+    monkeypatch.setattr(langid, "_CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = ["".join(rng.choices("abcÄß中\U0001f600 .", k=rng.choice([0, 1, 2, 3, 7, 40, 300]))) for _ in range(60)]
+    got = [Counter() for _ in texts]
+    for row, bucket, counts in langid.grams(texts, (1, 3), 12):
+        for r, b, n in zip(row.tolist(), bucket.tolist(), counts.tolist(), strict=True):
+            got[r][b] += n
+    assert got == [plain_counts(t, (1, 3), 12) for t in texts]
+
+
+def test_language_is_naive_bayes(spark):
+    rng = random.Random(8)
+    words = {"a": "ab ba bab aab".split(), "b": "ab bc cb abc".split(), "c": "cd dc ccd ab".split()}
+    rows = [(k, " ".join(rng.choices(words["abc"[k % 3]], k=rng.randrange(1, 12))), "abc"[k % 3] if k % 5 else None) for k in range(90)]
+    docs = spark.createDataFrame(rows + [(500, "", "a"), (501, None, "b")], "doc_id long, text string, lang string")
+    model = langid.fit(docs, orders=(1, 2), bits=10, alpha=0.5)
+    sums, seen = {x: Counter() for x in "abc"}, Counter()
+    for i, t, x in rows + [(500, "", "a")]:
+        if x:
+            sums[x] += plain_counts(t, (1, 2), 10)
+            seen[x] += 1
+    for r in langid.identify(docs, model).collect():
+        if not r.text:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        counts = plain_counts(r.text, (1, 2), 10)
+        like = {x: sum(n * math.log((sums[x][b] + 0.5) / (sum(sums[x].values()) + 512)) for b, n in counts.items()) for x in "abc"}
+        post = {x: v * min(1, 60 / sum(counts.values())) + math.log(seen[x] / sum(seen.values())) for x, v in like.items()}
+        best = max(sorted(post), key=post.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - post[best]) for v in post.values()), rel=1e-4)
+    with pytest.raises(ValueError):
+        langid.fit(docs, max_langs=2)
+
+
 # ---- line dedup ----
 
 
@@ -232,6 +282,24 @@ def test_plan_is_best_fit_decreasing():
         assert max(held.values()) <= capacity and sum(held.values()) == sum(lengths)
 
 
+def test_other_tokenizer_files_take_the_plain_way(tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing._ranked_bytes(spec)
+    swapped = [*spec["model"]["merges"][1::-1], *spec["model"]["merges"][2:]]
+    others = {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}, "model": {**spec["model"], "merges": swapped}}
+    for key, value in others.items():
+        path = str(tmp_path / f"{key}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({**spec, key: value}, f)
+        assert not packing._ranked_bytes({**spec, key: value})
+        encode, plain = packing._encoder(path), Tokenizer.from_file(path)
+        for text in ["The Cat  sat at 12.30, it's THE end", "", " x\n\n y"]:
+            assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
