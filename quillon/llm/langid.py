@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from quillon.llm.common import bounded_sample, free_names, named
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-_CHUNK = 1 << 18
+_CHUNK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,7 @@ class LanguageModel:
     bits: int
 
 
-def grams(texts: Sequence[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def grams(texts: Iterable[str], orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The sparse count matrix of hashed n-grams of lower-cased texts: (rows, buckets, counts), in blocks of bounded size.
 
     A row is a text's place in ``texts``.  Short texts share a block and long ones span several; a cell may
@@ -99,7 +99,7 @@ def fit(
         for batch in batches:
             langs, of = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
             own = np.zeros((len(langs), 1 << bits), dtype=np.int64)
-            for row, bucket, times in grams(batch.column(0).to_pylist(), orders, bits):
+            for row, bucket, times in grams((x.as_py() for x in batch.column(0)), orders, bits):
                 np.add.at(own, (of[row], bucket), times)
             for k, lang in enumerate(langs):
                 sums[lang] = sums.get(lang, 0) + own[k]
@@ -136,7 +136,7 @@ def score_texts(texts: Sequence[str | None], model: LanguageModel, evidence: int
     if not told:
         return langs, shares
     total, n = np.zeros((len(told), len(model.langs))), np.zeros(len(told))
-    for row, bucket, counts in grams([texts[k] for k in told], model.orders, model.bits):
+    for row, bucket, counts in grams((texts[k] for k in told), model.orders, model.bits):
         starts = np.flatnonzero(np.diff(row, prepend=-1))
         total[row[starts]] += np.add.reduceat(model.matrix[bucket] * counts[:, None].astype(np.float64), starts, axis=0)
         n[row[starts]] += np.add.reduceat(counts, starts)
