@@ -44,24 +44,49 @@ def valid(cells: DataFrame) -> DataFrame:
     return met.select(*cells.columns, F.coalesce(ok, F.lit(False)).alias("valid"))
 
 
-def fill(boxes: DataFrame, *, most: int = 100) -> DataFrame:
+def fill(boxes: DataFrame, cells: DataFrame | None = None, *, polls: int = 101) -> DataFrame:
     """(grid_id, x, y, z, depth, facing): cells of a box reached from its controller, pointing back to where they came from.
 
-    Boxes: (grid_id, cx, cy, cz, x0, y0, z0, sx, sy, sz), the box lying below its corner (x0, y0, z0), free
-    but for the controller.  In such a box a breadth-first walk reaches each cell at its Manhattan distance,
-    steps along y first, then z, then x, so its last step is known without walking.  ``most`` bounds the
-    cells of a box, in order of depth and place, where the walk that this stands for stops.
+    Boxes: (grid_id, cx, cy, cz, x0, y0, z0, sx, sy, sz), the box lying below its corner (x0, y0, z0).  Structure
+    cells of ``cells`` stay as they are and let no walk through.  A walk ends after ``polls`` places taken from its
+    queue, where a place may stand more than once, so no closed form gives its end: each box is walked on its own, in
+    constant time and memory.  Only cells that a walk can meet, at most ``polls`` steps away, are gathered for a box.
+    A box without room gives no rows; repeated boxes are walked alike.
     """
     inside = (F.col("x0") - F.col("x") >= 0) & (F.col("x0") - F.col("x") < F.col("sx")) & (F.col("y0") - F.col("y") >= 0) & (F.col("y0") - F.col("y") < F.col("sy")) & (F.col("z0") - F.col("z") >= 0) & (F.col("z0") - F.col("z") < F.col("sz"))
-    axis = lambda c, n: F.explode(F.sequence(F.col(c) - F.col(n) + 1, F.col(c)))
-    every = boxes.where("sx > 0 and sy > 0 and sz > 0").withColumn("x", axis("x0", "sx")).withColumn("y", axis("y0", "sy")).withColumn("z", axis("z0", "sz")).where(inside)
-    depth = F.abs(F.col("x") - F.col("cx")) + F.abs(F.col("y") - F.col("cy")) + F.abs(F.col("z") - F.col("cz"))
-    facing = F.when(F.col("x") < F.col("cx"), "east").when(F.col("x") > F.col("cx"), "west").when(F.col("z") < F.col("cz"), "south").when(F.col("z") > F.col("cz"), "north").when(F.col("y") < F.col("cy"), "up").otherwise("down")
-    placed = every.withColumn("depth", depth).where("depth > 0").withColumn("facing", facing)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("grid_id").orderBy("depth", "x", "y", "z")
-    return placed.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).select("grid_id", "x", "y", "z", "depth", "facing")
+    box = ["cx", "cy", "cz", "x0", "y0", "z0", "sx", "sy", "sz"]
+    given = boxes.select("grid_id", *box)
+    if cells is None:
+        given = given.withColumn("taken", F.lit(None).cast("array<struct<x:int,y:int,z:int>>"))
+    else:
+        near = F.abs(F.col("x") - F.col("cx")) + F.abs(F.col("y") - F.col("cy")) + F.abs(F.col("z") - F.col("cz")) <= polls
+        built = cells.where("kind = 'structure'").select("grid_id", "x", "y", "z")
+        met = given.distinct().join(built, "grid_id").where(inside & near).groupBy("grid_id", *box).agg(F.collect_set(F.struct(*[F.col(c).cast("int").alias(c) for c in "xyz"])).alias("taken"))
+        given = given.join(met, ["grid_id", *box], "left")
+    place = F.udf(lambda *v: _walk(v[:3], v[3:6], v[6:9], {tuple(c) for c in v[9] or ()}, polls), "array<struct<x:int,y:int,z:int,depth:int,facing:string>>", useArrow=True)
+    return given.select("grid_id", F.explode(place(*box, "taken")).alias("c")).select("grid_id", "c.*")
+
+
+def _walk(start: tuple, corner: tuple, size: tuple, taken: set, polls: int) -> list[tuple]:
+    """Places of one box in the order of a breadth-first walk of at most ``polls`` queue entries."""
+    found: dict[tuple, tuple] = {}
+    queue: list[tuple] = []
+
+    def look(at: tuple, depth: int) -> None:
+        for name, *step in STEPS:
+            to = tuple(a + d for a, d in zip(at, step, strict=True))
+            if to != start and to not in found and all(0 <= c - t < n for c, t, n in zip(corner, to, size, strict=True)):
+                queue.append((to, depth, OPPOSITE[name]))
+
+    look(tuple(start), 1)
+    for k in range(polls):
+        if k >= len(queue):
+            break
+        at, depth, facing = queue[k]
+        if at not in found and at not in taken:
+            found[at] = (*at, depth, facing)
+            look(at, depth + 1)
+    return list(found.values())
 
 
 def mismatches(cells: DataFrame, template: DataFrame) -> DataFrame:

@@ -637,6 +637,17 @@ def voxel_valid(spark, d):
     return voxel.valid(_voxels(spark, d)).select("x", "y", "valid")
 
 
+@query("SELECT s_suppkey AS x, s_suppkey % 3 = 0 AND s_suppkey % 2 = s_suppkey % 4 // 2 AS valid FROM supplier")
+def voxel_valid_pointers(spark, d):
+    """A controller and one cell above it a supplier: only some point down, and some belong to another structure."""
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier").select(k, F.explode(F.array(F.lit(0), F.lit(1))).alias("y"))
+    facing = F.when(k % 3 == 0, "down").when(k % 3 == 1, "up").otherwise("east")
+    other = F.when(F.col("y") == 0, k % 2).otherwise((k % 4 / 2).cast("int")).cast("string")
+    cells = s.select(F.lit("g").alias("grid_id"), (k * 2).alias("x"), "y", F.lit(0).alias("z"), F.when(F.col("y") == 0, "controller").otherwise("structure").alias("kind"), facing.alias("facing"), other.alias("structure"))
+    return voxel.valid(cells).select((F.col("x") / 2).cast("long").alias("x"), "valid")
+
+
 @query("""SELECT CAST(n_nationkey AS VARCHAR) AS grid_id, CAST(-a AS INT) AS x, CAST(-b AS INT) AS y, CAST(-c AS INT) AS z, CAST(a + b + c AS INT) AS depth, CASE WHEN a > 0 THEN 'east' WHEN c > 0 THEN 'south' ELSE 'up' END AS facing
 FROM nation, unnest(range(0, n_nationkey % 3 + 1)) t(a), unnest(range(0, n_nationkey % 4 + 1)) u(b), range(0, 2) v(c) WHERE a + b + c > 0""")
 def voxel_fill(spark, d):
@@ -646,6 +657,17 @@ def voxel_fill(spark, d):
     return voxel.fill(boxes).select("grid_id", "x", "y", "z", "depth", "facing")
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS grid_id, CAST(-a AS INT) AS x, 0 AS y, 0 AS z, CAST(a AS INT) AS depth, 'east' AS facing FROM supplier, unnest(range(1, least(101, 80 + s_suppkey % 50) + 1)) t(a) WHERE s_suppkey % 7 > 0 OR a < 60")
+def voxel_fill_long(spark, d):
+    """Corridors longer than a walk, every seventh of them with a cell in the way."""
+    k = F.col("s_suppkey")
+    s = read(spark, d, "supplier")
+    zero = [F.lit(0).alias(n) for n in ("cx", "cy", "cz", "x0", "y0", "z0")]
+    boxes = s.select(k.cast("string").alias("grid_id"), *zero, (k % 50 + 81).cast("int").alias("sx"), F.lit(1).alias("sy"), F.lit(1).alias("sz"))
+    walls = s.where(k % 7 == 0).select(k.cast("string").alias("grid_id"), F.lit(-60).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.lit("structure").alias("kind"))
+    return voxel.fill(boxes, walls).select("grid_id", "x", "y", "z", "depth", "facing")
+
+
 @query("""SELECT CAST(n_nationkey AS INT) AS box_id, NOT EXISTS (SELECT 1 FROM nation m, unnest(range(0, m.n_nationkey % 13 + 1)) t(y) WHERE m.n_nationkey * 2 BETWEEN n.n_nationkey AND n.n_nationkey + 1 AND y BETWEEN 5 AND 7) AS free FROM nation n""")
 def voxel_placeable(spark, d):
     k = F.col("n_nationkey")

@@ -28,13 +28,19 @@ def encode_tables(points: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tables of all JSON files below a folder; a file's path without folder and ending is its fn_id."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    return decode_tables(files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("fn_id"), F.col("value").alias("json")))
+    """Tables of all JSON files below a folder, and of what ``write_tables`` wrote there.
+
+    A table's fn_id is the file's name without folder and ending, or the name of its ``fn_id=`` folder.
+    """
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}").select(plain(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("json"))
+    folder = F.regexp_extract("file", r"/fn_id=([^/]+)/[^/]+\.txt$", 1)
+    own = F.when(folder != "", plain(folder)).otherwise(F.regexp_extract("file", r"([^/]+)\.json$", 1))
+    return decode_tables(files.select(own.alias("fn_id"), "json").where("fn_id <> ''"))
 
 
 def write_tables(points: DataFrame, meta: DataFrame, path: str) -> None:
-    """One line of JSON a table, in a folder for each fn_id."""
+    """One line of JSON a table, in a folder for each fn_id; ``read_tables`` reads them back."""
     encode_tables(points, meta).select("fn_id", F.col("json").alias("value")).write.partitionBy("fn_id").mode("overwrite").text(path)
 
 

@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.operators import lookup, tables
+from quillon.operators import lookup, tables, voxel
 from quillon.sources import table_json
 
 
@@ -75,6 +76,15 @@ def test_files_and_inverse(spark, tmp_path):
     meta = spark.createDataFrame([("f", 1.0, 1.0, "LINEAR", "LINEAR", True)], "fn_id string, x_step double, y_step double, x_mode string, y_mode string, clamp boolean")
     table_json.write_tables(points2d(spark), meta, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 1
+    odd = "a b+c%d=é"
+    named = lambda df: df.unionByName(df.withColumn("fn_id", F.lit(odd)))
+    table_json.write_tables(named(points2d(spark)), named(meta), str(tmp_path / "two"))
+    back, about = table_json.read_tables(spark, str(tmp_path / "two"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, named(points2d(spark)).collect()))
+    assert sorted(map(tuple, about.collect())) == sorted(map(tuple, named(meta).collect()))
+    (tmp_path / "three" / "deep").mkdir(parents=True)
+    (tmp_path / "three" / "deep" / "g h.json").write_text('{"table": {"1.0": {"2.0": 3.0}}, "clamp": true}')
+    assert table_json.read_tables(spark, str(tmp_path / "three"))[0].collect() == [("g h", 1.0, 2.0, 3.0)]
     square = points1d(spark, [(x, x * x) for x in range(5)])
     got = {r.x: r.y for r in tables.invert(square, step=4.0).collect()}
     assert got == pytest.approx({0.0: 0.0, 4.0: 2.0, 8.0: 2.8, 12.0: 3 + 3 / 7})
@@ -91,3 +101,36 @@ def test_tagged_values(spark):
     assert got == {"a": 1.0, "b": 6.0, "c": -1.0} and not math.isnan(got["a"])
     new = spark.createDataFrame([("n", False, 2.0)], "key string, is_tag boolean, value double")
     assert sorted(r.key for r in lookup.reload(values, new, replace=True).collect()) == ["n", "s", "t"]
+
+
+def plain_fill(size, corner, built=()):
+    """Cells of a walk from place 0 that takes at most 101 entries off its queue, written out."""
+    from collections import deque
+
+    steps = [(0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1), (-1, 0, 0), (1, 0, 0)]
+    inside = lambda p: all(0 <= c - v < n for c, v, n in zip(corner, p, size, strict=True))
+    placed, left = set(), deque(s for s in steps if inside(s))
+    for _ in range(101):
+        if not left:
+            break
+        at = left.popleft()
+        if at in placed or at in built:
+            continue
+        placed.add(at)
+        around = [tuple(a + b for a, b in zip(at, s, strict=True)) for s in steps]
+        left.extend(p for p in around if inside(p) and p != (0, 0, 0) and p not in placed)
+    return placed
+
+
+def test_fill_stops_where_the_walk_stops(spark):
+    shapes = {"corner": ((4, 4, 4), (0, 0, 0)), "middle": ((5, 5, 5), (2, 2, 2)), "flat": ((9, 1, 30), (4, 0, 9)), "none": ((0, 3, 3), (0, 0, 0)), "wall": ((4, 3, 6), (1, 1, 2))}
+    boxes = spark.createDataFrame([(g, 0, 0, 0, *c, *n) for g, (n, c) in shapes.items()], "grid_id string, cx int, cy int, cz int, x0 int, y0 int, z0 int, sx int, sy int, sz int")
+    built = [(x, y, -1) for x in range(-2, 2) for y in range(-1, 2)]
+    cells = spark.createDataFrame([("wall", *p, "structure") for p in built] + [("corner", -1, 0, 0, "air"), ("wall", 0, 0, 0, "controller")], "grid_id string, x int, y int, z int, kind string")
+    rows = voxel.fill(boxes, cells).collect()
+    for g, (n, c) in shapes.items():
+        mine = [(r.x, r.y, r.z) for r in rows if r.grid_id == g]
+        assert len(mine) == len(set(mine)) and set(mine) == plain_fill(n, c, built if g == "wall" else ())
+    assert sum(r.grid_id == "corner" for r in rows) == 50 and sum(r.grid_id == "middle" for r in rows) == 56
+    free = [r for r in rows if r.grid_id != "wall"]
+    assert all(r.depth == abs(r.x) + abs(r.y) + abs(r.z) for r in free)
