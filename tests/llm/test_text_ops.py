@@ -53,6 +53,42 @@ def test_rules_learn_and_emit(spark):
     assert quality.judge(docs.where("false"), rules).count() == 0
 
 
+def test_list_of_several_rules():
+    def draw(seed):
+        x = np.random.default_rng(seed).random((4000, len(quality.FEATURES)))
+        return x, (x[:, 2] > 0.8) | (x[:, 1] <= 0.15) | ((x[:, 3] > 0.6) & (x[:, 5] <= 0.4))
+
+    rules = quality.learn(*draw(1))
+    assert len(rules) >= 3 and max(len(r.tests) for r in rules) >= 2
+    x, bad = draw(2)
+    found = np.any([r.mask(x) for r in rules], axis=0)
+    assert (found == bad).mean() >= 0.96 and bad[found].mean() >= 0.97
+
+
+def test_verdicts_follow_the_list(spark):
+    def text(k):
+        words = prose(k, random.Random(k).randrange(60, 400), 5000).split()  # lengths tell nothing
+        if k % 7 == 0:
+            words = [w[:-2] + "##" for w in words]
+        if k % 7 == 1:
+            words = [w + "longerthanusual" for w in words]
+        lines = [" ".join(words[a : a + 9]) for a in range(0, len(words), 9)]
+        return "\n".join(lines + lines[: len(lines) // 3] if k % 7 == 2 else lines)
+
+    rows = [(1000 + k, text(k)) for k in range(700)]
+    labels = spark.createDataFrame([(1000 + k, int(k % 7 > 2)) for k in range(600)], "doc_id long, quality int")
+    rules = quality.fit(frame(spark, rows), labels)
+    assert len(rules) >= 3 and len({t[0] for r in rules for t in r.tests}) >= 3
+    want = {}
+    for i, t in rows:
+        s = dict(zip(quality.STATS, quality.text_stats(t), strict=True))
+        value = {k: s[a] / (max(s[b], 1) if b else 1) for k, (a, b) in quality.FEATURES.items()}
+        hit = any(all(value[f] <= v if sign == "<=" else value[f] > v for f, sign, v in r.tests) for r in rules)
+        want[i] = not hit and s["n_words"] >= 50 and 2 * s["n_repeat_words"] <= s["n_words"]
+    got = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows), rules).collect()}
+    assert got == want and all(got[1000 + k] == (k % 7 > 2) for k in range(600, 700))
+
+
 # ---- language ----
 
 
