@@ -24,6 +24,22 @@ def clamped(t: Column, p: Column, h: Column, x: Column) -> list[Column]:
     return [floor(t).alias("temperature"), floor(p).alias("pressure"), h.alias("specific_enthalpy"), F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).alias("vapor_quality")]
 
 
+def encoded() -> Column:
+    """A state's columns as one JSON text of four named numbers; nulls are left out."""
+    return F.to_json(F.struct(*STATE))
+
+
+def decoded(text: Column) -> list[Column]:
+    """The columns of a state kept as JSON: numbers that are missing are 0, the others are clamped.
+
+    A null text, or one that is no JSON object of numbers, gives nulls.
+    """
+    read = F.from_json(text, ", ".join(f"{c} double" for c in STATE) + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    good = read.isNotNull() & read["_corrupt_record"].isNull()
+    state = clamped(*(F.coalesce(read[c], F.lit(0.0)) for c in STATE))
+    return [F.when(good, v).alias(c) for c, v in zip(STATE, state, strict=True)]
+
+
 def prop(queries: DataFrame, tables: DataFrame, fn_id: str, a: str, b: str, out: str, *, clamp: bool = True) -> DataFrame:
     """``queries`` with a property at (a, b); the default where the table has no points."""
     loaded = tables.where(F.col("fn_id") == fn_id)

@@ -550,6 +550,16 @@ def fluid_isentropic(spark, d):
     return out.select("o_orderkey", F.round("pressure", 4).alias("pressure"), F.round(F.col("specific_enthalpy") + 0.00123, 2).alias("specific_enthalpy"))
 
 
+@query("""SELECT o_orderkey, greatest(o_totalprice - 1e5, 0) AS temperature, o_totalprice AS pressure, -o_totalprice AS specific_enthalpy, CASE WHEN o_orderkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(greatest(least((o_orderkey % 5) / 2.0 - 0.5, 1.0), 0.0) AS DOUBLE) END AS vapor_quality
+FROM (SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders)""")
+def fluid_state_text(spark, d):
+    """States written as text and read back: beyond their ranges in part, and without a quality for every seventh order."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
+    quality = F.when(k % 7 != 0, k % 5 / 2.0 - 0.5)
+    states = read(spark, d, "orders").select("o_orderkey", (price - 1e5).alias("temperature"), price.alias("pressure"), (-price).alias("specific_enthalpy"), quality.alias("vapor_quality"))
+    return states.select("o_orderkey", fluid.encoded().alias("text")).select("o_orderkey", *fluid.decoded(F.col("text")))
+
+
 @query("SELECT CAST(s AS DOUBLE) AS s, CAST(k AS INT) AS k, round(300 * (s - 2.0 + p / 1e5), 3) AS h FROM (SELECT 3000.0 + s * 500 AS s, k, 2e5 * pow(CAST(1.01 AS DOUBLE), k) AS p FROM range(0, 8) a(s), range(0, 162) b(k))".replace("CAST(k AS INT) AS k", "CAST(k AS INT) AS k"))
 def fluid_isentropes(spark, d):
     lines = spark.range(8).select((3000.0 + F.col("id") * 500).alias("s"))

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import lookup, tables, voxel
+from quillon.operators import fluid, lookup, tables, voxel
 from quillon.sources import table_json
 
 
@@ -134,3 +134,13 @@ def test_fill_stops_where_the_walk_stops(spark):
     assert sum(r.grid_id == "corner" for r in rows) == 50 and sum(r.grid_id == "middle" for r in rows) == 56
     free = [r for r in rows if r.grid_id != "wall"]
     assert all(r.depth == abs(r.x) + abs(r.y) + abs(r.z) for r in free)
+
+
+def test_states_as_text(spark):
+    rows = [(1, 300.5, 1e5, -2.0, 0.25), (2, -1.0, -2.0, 0.1 + 0.2, 7.0), (3, float("nan"), 1.0, None, None), (4, None, None, None, None)]
+    states = spark.createDataFrame(rows, "id long, temperature double, pressure double, specific_enthalpy double, vapor_quality double")
+    back = {r.id: tuple(r)[1:] for r in states.select("id", fluid.encoded().alias("t")).select("id", *fluid.decoded(F.col("t"))).collect()}
+    assert back[1] == rows[0][1:] and back[2] == (0.0, 0.0, 0.1 + 0.2, 1.0) and back[4] == (0.0,) * 4
+    assert math.isnan(back[3][0]) and back[3][1:] == (1.0, 0.0, 0.0)
+    texts = spark.createDataFrame([(None,), ("{bad",), ('{"pressure": "much"}',), ("",)], "t string")
+    assert all(tuple(r) == (None,) * 4 for r in texts.select(*fluid.decoded(F.col("t"))).collect())
