@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows whose key set may be broadcast after its count has been checked (two longs a row).
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes after which an Arrow batch ends while a table is written; one row may be larger.  Narrow rows keep Spark's number a batch.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
 #: Code points that count as white space in every contract of this package.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,15 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of bounded bytes meanwhile: a batch stands in the JVM and in its Python worker at once.
+
+    A limit that the session has set itself stays.
+    """
+    key, most = BATCH
+    if key in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, executors may go.
 
-    The application's folder is removed when the application ends.
+    Texts go through Python in small batches.  The application's folder is removed when the application ends.
     """
     spark = df.sparkSession
     home = f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}"
     path = f"{home}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(home)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)

@@ -119,3 +119,27 @@ def test_language_stage_without_languages(spark):
     rows = [(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "été", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [1, 4]
+
+
+def test_batches_of_texts_are_small(spark):
+    """While a table is written, texts reach Python in batches of bounded bytes; the session's settings stay as they are."""
+    import pyarrow as pa
+
+    from quillon.llm.common import BATCH, materialize
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]}, pa.schema([("n", pa.int64()), ("bytes", pa.int64())]))
+
+    wide = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 4096) AS text").mapInArrow(sizes, "n long, bytes long")
+    narrow = spark.range(0, 4000, 1, 1).mapInArrow(sizes, "n long, bytes long")
+    assert BATCH[0] not in spark.conf.getAll
+    got = materialize(wide, "wide").collect()
+    assert sum(r.n for r in got) == 4000 and max(r.bytes for r in got) < 4 << 20
+    assert [r.n for r in materialize(narrow, "narrow").collect()] == [4000]
+    assert BATCH[0] not in spark.conf.getAll
+    spark.conf.set(BATCH[0], "1m")
+    try:
+        assert max(r.bytes for r in materialize(wide, "own").collect()) < 2 << 20 and spark.conf.get(BATCH[0]) == "1m"
+    finally:
+        spark.conf.unset(BATCH[0])
