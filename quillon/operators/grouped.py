@@ -20,6 +20,25 @@ def dealt(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return rows.repartition(n, key).sortWithinPartitions(key, *order)
 
 
+def listed(column: pa.Array) -> list:
+    """What ``to_pylist`` gives, for flat columns, lists and maps, without a call for each value."""
+    kind = column.type
+    if pa.types.is_list(kind) or pa.types.is_map(kind):
+        inner = list(zip(listed(column.keys), listed(column.items), strict=True)) if pa.types.is_map(kind) else listed(column.values)
+        ends = column.offsets.to_pylist()
+        return [inner[a:b] if there else None for a, b, there in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)]
+    if pa.types.is_string(kind):
+        codes = column.dictionary_encode()
+        return np.array([*codes.dictionary.to_pylist(), None], dtype=object)[codes.indices.fill_null(len(codes.dictionary)).to_numpy()].tolist()
+    if not pa.types.is_floating(kind) and not pa.types.is_integer(kind):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy().tolist()
+    values = column.fill_null(0).to_numpy().astype(object)
+    values[column.is_null().to_numpy(zero_copy_only=False)] = None
+    return values.tolist()
+
+
 def _joined(pieces: list[list]) -> list:
     if len(pieces) == 1:
         return pieces[0]

@@ -9,14 +9,15 @@ heat; g), radiation (a, b; area, emissivity), convection (wall, fluid; cp, h or
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.grouped import dealt, groups
-from quillon.operators.solvers import Coo, conjugate_gradient, least_squares
+from quillon.operators.grouped import dealt, groups, listed
+from quillon.operators.solvers import Coo, conjugate_gradient, conjugate_gradients, least_squares
 
 MECHANICAL, HYDRAULIC, THERMAL = "MECHANICAL", "HYDRAULIC", "THERMAL"
 #: The order in which domains are solved.
@@ -63,27 +64,34 @@ def assemble(nodes: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFr
     return a, b
 
 
-class _Model:
-    """One model in memory: node places, current values, and components as arrays by type."""
+class _Models:
+    """Models of one structure in memory: places and components once, current values and parameters a row a model."""
 
-    def __init__(self, nodes: list[tuple], components: list[tuple]) -> None:
-        """``nodes``: (node_id, domain, kind, fixed_value, init_value); ``components``: (comp_id, domain, type, ports, params)."""
+    def __init__(self, nodes: list[tuple], components: list[tuple], numbers: np.ndarray) -> None:
+        """``nodes``: (node_id, domain, kind); ``components``: (comp_id, domain, type, ports, names of parameters).
+
+        ``numbers`` has a row a model: the nodes' values, then the components' parameters, in order.
+        """
         self.place: dict[str, dict[str, int]] = {}
         self.values: dict[str, np.ndarray] = {}
         self.fixed: dict[str, np.ndarray] = {}
         for domain in DOMAINS:
-            own = [x for x in nodes if x[1] == domain]
+            own = [k for k, x in enumerate(nodes) if x[1] == domain]
             if own:
-                self.place[domain] = {x[0]: k for k, x in enumerate(own)}
+                self.place[domain] = {nodes[k][0]: p for p, k in enumerate(own)}
                 if len(self.place[domain]) < len(own):
                     raise ValueError("a node stands twice in a domain")
-                self.fixed[domain] = np.array([x[2] == "fixed" for x in own])
-                self.values[domain] = np.array([(x[3] if x[2] == "fixed" else x[4]) or 0.0 for x in own], dtype=float)
+                self.fixed[domain] = np.array([nodes[k][2] == "fixed" for k in own])
+                self.values[domain] = numbers[:, own]
+        # a last column of zeros stands for parameters that are not given
+        self.numbers = np.hstack([numbers, np.zeros((len(numbers), 1))])
         self.links: dict[str, list] = {d: [] for d in DOMAINS}
         self.sources: dict[str, list] = {d: [] for d in DOMAINS}
         self.gears, self.dampers, self.radiation, self.convection = [], [], [], []
-        for comp_id, on, kind, ports, params in components:
-            params = dict(params or ())
+        first = len(nodes)
+        for comp_id, on, kind, ports, names in components:
+            params = {name: first + k for k, name in enumerate(names)}
+            first += len(names)
             at = lambda port, domain: self.place[domain][port]
             domain = on if kind in ("link", "source") else {"gear": MECHANICAL, "damper": MECHANICAL}.get(kind, THERMAL)
             if domain not in self.place and not (kind == "damper" and THERMAL in self.place):
@@ -96,91 +104,103 @@ class _Model:
                 elif kind == "gear":
                     self.gears.append((*(at(p, domain) for p in ports[:3]), params["r"]))
                 elif kind == "damper":
-                    if params["g"] <= 0:
+                    if (numbers[:, params["g"]] <= 0).any():
                         raise ValueError("a damper's conductance is above 0")
                     self.dampers.append((at(ports[0], MECHANICAL), at(ports[1], MECHANICAL), at(ports[2], THERMAL) if THERMAL in self.place and len(ports) > 2 else -1, params["g"]))
                 elif kind == "radiation":
-                    self.radiation.append((at(ports[0], THERMAL), at(ports[1], THERMAL), SIGMA * params["emissivity"] * params["area"]))
+                    self.radiation.append((at(ports[0], THERMAL), at(ports[1], THERMAL), params["emissivity"], params["area"]))
                 elif kind == "convection":
                     flow = at(ports[1], HYDRAULIC) if HYDRAULIC in self.place else -1
-                    self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), flow, params["cp"], params.get("h0", params.get("h", 0.0)), params.get("h1", 0.0)))
+                    self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), flow, params["cp"], params.get("h0", params.get("h", -1)), params.get("h1", -1)))
                 elif kind == "advection":
-                    self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), (at(ports[0], HYDRAULIC), at(ports[1], HYDRAULIC)), params["cp"] * params["g"], 0.0, 0.0))
+                    self.convection.append((at(ports[0], THERMAL), at(ports[1], THERMAL), (at(ports[0], HYDRAULIC), at(ports[1], HYDRAULIC)), params["cp"], params["g"], -1))
                 else:
                     raise ValueError(f"unknown component type {kind}")
             except KeyError as missing:
                 raise ValueError(f"component {comp_id} needs {missing} in its domain") from None
 
-    def system(self, domain: str) -> tuple[Coo, np.ndarray, bool]:
-        """(matrix, right-hand side, whether the free rows are symmetric) from the current values."""
-        fixed, now = self.fixed[domain], self.values[domain]
-        n = len(fixed)
-        rows, cols, vals = [np.flatnonzero(fixed)], [np.flatnonzero(fixed)], [np.ones(int(fixed.sum()))]
+    def of(self, rows: np.ndarray) -> _Models:
+        """The models of some rows."""
+        out = copy(self)
+        out.numbers, out.values = self.numbers[rows], {d: v[rows] for d, v in self.values.items()}
+        return out
+
+    def system(self, domain: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, columns, entries by model, right-hand sides, whether the free rows are symmetric) from the current values."""
+        fixed, now, many = self.fixed[domain], self.values[domain], len(self.numbers)
+        held = np.flatnonzero(fixed)
+        rows, cols, vals = [held], [held], [np.ones((many, len(held)))]
         b = np.where(fixed, now, 0.0)
-        plain = True
+        plain = np.ones(many, dtype=bool)
+
+        def put(at: int, col: int, value: np.ndarray | float) -> None:
+            if not fixed[at]:
+                rows.append(np.array([at])), cols.append(np.array([col])), vals.append(np.broadcast_to(np.reshape(value, (-1, 1)), (many, 1)))
 
         def pairs(i: np.ndarray, j: np.ndarray, g: np.ndarray) -> None:
             for p, q in ((i, j), (j, i)):
                 on = ~fixed[p]
                 rows.extend((p[on], p[on]))
                 cols.extend((p[on], q[on]))
-                vals.extend((g[on], -g[on]))
+                vals.extend((g[:, on], -g[:, on]))
 
         def columns(items: list, width: int) -> list[np.ndarray]:
             return [np.array([x[k] for x in items]) for k in range(width)]
 
         if self.links[domain]:
             i, j, g = columns(self.links[domain], 3)
-            pairs(i, j, g)
+            pairs(i, j, self.numbers[:, g])
         for at, q in self.sources[domain]:
             if not fixed[at]:
-                b[at] += q
+                b[:, at] += self.numbers[:, q]
         if domain == MECHANICAL:
             if self.dampers:
                 i, j, _, g = columns(self.dampers, 4)
-                pairs(i, j, g)
+                pairs(i, j, self.numbers[:, g])
             for i, j, k, r in self.gears:
-                plain = False
-                for at, col, value in ((i, k, r), (j, k, -1.0)):
-                    if not fixed[at]:
-                        rows.append(np.array([at])), cols.append(np.array([col])), vals.append(np.array([value]))
-                rows.append(np.array([k, k])), cols.append(np.array([i, j])), vals.append(np.array([r, -1.0]))
+                plain[:] = False
+                put(i, k, self.numbers[:, r])
+                put(j, k, -1.0)
+                rows.append(np.array([k, k])), cols.append(np.array([i, j])), vals.append(np.column_stack([self.numbers[:, r], np.full(many, -1.0)]))
         if domain == THERMAL:
             if MECHANICAL in self.values:
                 w = self.values[MECHANICAL]
                 for i, j, heat, g in self.dampers:
                     if heat >= 0 and not fixed[heat]:
-                        b[heat] += g * (w[i] - w[j]) ** 2
+                        b[:, heat] += self.numbers[:, g] * (w[:, i] - w[:, j]) ** 2
             if self.radiation:
-                i, j, s = columns(self.radiation, 3)
-                pairs(i, j, 4 * s * ((now[i] + now[j]) / 2) ** 3)
+                i, j, e, area = columns(self.radiation, 4)
+                pairs(i, j, 4 * (SIGMA * self.numbers[:, e] * self.numbers[:, area]) * ((now[:, i] + now[:, j]) / 2) ** 3)
             for i, j, flow, cp, h0, h1 in self.convection:
                 if isinstance(flow, tuple):
                     p = self.values[HYDRAULIC]
-                    carried = (p[flow[0]] - p[flow[1]]) * cp
-                    if abs(carried) < 1e-12:
-                        continue
+                    carried = (p[:, flow[0]] - p[:, flow[1]]) * (self.numbers[:, cp] * self.numbers[:, h0])
+                    carried = np.where(np.abs(carried) < 1e-12, 0.0, carried)
                 else:
-                    rate = float(self.values[HYDRAULIC][flow]) if flow >= 0 else 0.0
-                    pairs(np.array([i]), np.array([j]), np.array([h0 + h1 * abs(rate)]))
-                    carried = rate * cp
-                if carried:
-                    plain = False
-                    up, down, size = (i, j, carried) if carried > 0 else (j, i, -carried)
-                    for at, value in ((up, size), (down, -size)):
-                        if not fixed[at]:
-                            rows.append(np.array([at])), cols.append(np.array([up])), vals.append(np.array([value]))
-        return Coo(np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64), np.concatenate(vals).astype(float), n, n), b, plain
-
-
-def _solve_domain(model: _Model, domain: str, method: str, inner: int, tol: float) -> np.ndarray:
-    a, b, plain = model.system(domain)
-    now, fixed = model.values[domain], model.fixed[domain]
+                    rate = self.values[HYDRAULIC][:, flow] if flow >= 0 else np.zeros(many)
+                    pairs(np.array([i]), np.array([j]), (self.numbers[:, h0] + self.numbers[:, h1] * np.abs(rate))[:, None])
+                    carried = rate * self.numbers[:, cp]
+                if carried.any():
+                    plain &= carried == 0
+                    # what flows from i to j, or from j to i; one of both is 0
+                    for up, down, size in ((i, j, np.where(carried > 0, carried, 0.0)), (j, i, np.where(carried > 0, 0.0, -carried))):
+                        put(up, up, size)
+                        put(down, up, -size)
+        return np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64), np.concatenate(vals, axis=1).astype(float), b, plain
+
+
+def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products of stacked matrices, entries by model, and their vectors."""
+    out = np.zeros_like(x)
+    for k, (i, j) in enumerate(zip(row.tolist(), col.tolist(), strict=True)):
+        out[:, i] += value[:, k] * x[:, j]
+    return out
+
+
+def _solve_one(a: Coo, b: np.ndarray, plain: bool, now: np.ndarray, fixed: np.ndarray, method: str, inner: int, tol: float) -> np.ndarray:
     if method == "cgnr":
         return least_squares(a, b, most=inner, tol=tol, guess=now)[0]
     free = np.flatnonzero(~fixed)
-    if not len(free):
-        return now
     at = np.full(a.n_rows, -1)
     at[free] = np.arange(len(free))
     inside = (at[a.row] >= 0) & (at[a.col] >= 0)
@@ -209,6 +229,51 @@ def _solve_domain(model: _Model, domain: str, method: str, inner: int, tol: floa
     return out
 
 
+@np.errstate(all="ignore")
+def _solve_domain(models: _Models, domain: str, method: str, inner: int, tol: float) -> np.ndarray:
+    """New values of a domain, a row a model: a stack of small systems at once, by the steps that ``_solve_one`` takes for one.
+
+    Systems for which those steps end without a solution go through ``_solve_one`` itself.
+    """
+    row, col, value, b, plain = models.system(domain)
+    now, fixed = models.values[domain], models.fixed[domain]
+    many, n = now.shape
+    free = np.flatnonzero(~fixed)
+    if method != "cgnr" and not len(free):
+        return now
+    out, solved = now.copy(), np.zeros(many, dtype=bool)
+    if method != "cgnr" and many > 1:
+        dense, weight = np.zeros((many, n, n)), np.zeros((many, n))
+        for k, (i, j) in enumerate(zip(row.tolist(), col.tolist(), strict=True)):
+            dense[:, i, j] += value[:, k]
+            if not fixed[j]:
+                weight[:, i] += np.abs(value[:, k])
+        own = dense[:, free]
+        a = np.ascontiguousarray(own[:, :, free])
+        rhs = b[:, free] - np.einsum("kij,kj->ki", own[:, :, fixed], now[:, fixed])
+        size = np.maximum(1.0, np.abs(rhs).max(axis=1))
+        x = now[:, free]
+        by_steps = np.flatnonzero(plain & (weight[:, free] > 0).all(axis=1))
+        if len(by_steps):
+            x[by_steps], left = conjugate_gradients(a[by_steps], rhs[by_steps], most=20 * len(free) + 200, tol=1e-10 * size[by_steps], guess=x[by_steps])
+            solved[by_steps] = (left <= 1e-6 * size[by_steps]) & np.isfinite(x[by_steps]).all(axis=1)
+        rest = np.flatnonzero(~solved)
+        if len(rest):
+            try:
+                x[rest] = np.linalg.solve(a[rest], rhs[rest][:, :, None])[:, :, 0]
+                off = np.abs(np.einsum("kij,kj->ki", a[rest], x[rest]) - rhs[rest]).max(axis=1)
+                solved[rest] = np.isfinite(x[rest]).all(axis=1) & (off <= 1e-6 * size[rest])
+            except np.linalg.LinAlgError:
+                pass  # one of them is singular: each on its own
+        out[np.ix_(solved, free)] = x[solved]
+    for k in np.flatnonzero(~solved):
+        out[k] = _solve_one(Coo(row, col, value[k], n, n), b[k], bool(plain[k]), now[k], fixed, method, inner, tol)
+    return out
+
+
+#: Models of at most so many nodes are stacked by structure, so many at once; rows that wait for their stack, in all.
+STACKED_NODES, STACK, WAITING = 64, 1000, 50_000
+
 _RESULT = "model_id string, node_id string, domain string, value double, outer_iters int, converged boolean, residual double"
 
 
@@ -216,7 +281,7 @@ def steady_state(nodes: DataFrame, components: DataFrame, *, method: str = "auto
     """(model_id, node_id, domain, value, outer_iters, converged, residual): each model whole in one task.
 
     Rounds: all domains are stamped from the values before the round, then solved in order, until no value
-    moves by ``tol``.  ``auto`` eliminates fixed nodes and picks by structure: preconditioned conjugate
+    moves by ``tol``.  Models of the same nodes, components and parameter names are solved in stacks.  ``auto`` eliminates fixed nodes and picks by structure: preconditioned conjugate
     gradient where stamps are symmetric, a direct solve with gears or advection, least squares where the
     system is singular.  ``cgnr`` is least squares on the whole system with ``inner`` steps at most.
     """
@@ -226,33 +291,62 @@ def steady_state(nodes: DataFrame, components: DataFrame, *, method: str = "auto
     right = components.select(text("model_id"), F.lit(1).alias("part"), F.col("seq").cast("long").alias("seq"), F.col("comp_id").alias("name"), "domain", "type", "ports", F.col("params").cast("map<string,double>").alias("params"), none("double", "fixed_value"), none("double", "init_value"))
     schema = pa.schema([("model_id", pa.string()), ("node_id", pa.string()), ("domain", pa.string()), ("value", pa.float64()), ("outer_iters", pa.int32()), ("converged", pa.bool_()), ("residual", pa.float64())])
 
-    def solve(key: str | None, columns: list) -> list[tuple]:
-        part, _, name, domain, kind, ports, params, fixed, init = columns
-        n = sum(x == 0 for x in part)  # nodes come first
-        if not n:
-            raise ValueError(f"model {key} has components and no nodes")
-        model = _Model(list(zip(name[:n], domain[:n], kind[:n], fixed[:n], init[:n], strict=True)), list(zip(name[n:], domain[n:], kind[n:], ports[n:], params[n:], strict=True)))
-        moved, rounds = np.inf, 0
-        while rounds < outer and moved >= tol:
-            rounds += 1
-            new = {d: _solve_domain(model, d, method, inner, tol) for d in model.values}
-            moved = max((float(np.abs(new[d] - model.values[d]).max()) for d in new), default=0.0)
-            model.values = {d: np.where(model.fixed[d], model.values[d], v) for d, v in new.items()}
-        rest = 0.0
-        for d in model.values:
-            a, b, _ = model.system(d)
-            rest = max(rest, float(np.abs(a.times(model.values[d]) - b).max()))
-        return [(key, node, d, value, rounds, moved < tol, rest) for d in model.values for node, value in zip(model.place[d], model.values[d].tolist(), strict=True)]
+    def solve(keys: list, nodes: tuple, comps: tuple, numbers: list[list[float]]) -> pa.RecordBatch:
+        models = _Models(nodes, comps, np.array(numbers, dtype=float).reshape(len(keys), -1))
+        moved, rounds, live = np.full(len(keys), np.inf), np.zeros(len(keys), dtype=np.int32), np.arange(len(keys))
+        for _ in range(outer):
+            now = models if len(live) == len(keys) else models.of(live)
+            new = {d: _solve_domain(now, d, method, inner, tol) for d in models.values}
+            rounds[live] += 1
+            moved[live] = np.max([np.abs(new[d] - now.values[d]).max(axis=1) for d in new], axis=0)
+            for d, v in new.items():
+                models.values[d][live] = np.where(models.fixed[d], now.values[d], v)
+            live = live[moved[live] >= tol]
+            if not len(live):
+                break
+        rest = np.zeros(len(keys))
+        for d, x in models.values.items():
+            row, col, value, b, _ = models.system(d)
+            ax = _times(row, col, value, x) if len(keys) > 1 else Coo(row, col, value[0], x.shape[1], x.shape[1]).times(x[0])
+            rest = np.maximum(rest, np.abs(ax - b).max(axis=1))
+        # all nodes of a model, then the next model
+        names = [(node, d) for d in models.values for node in models.place[d]]
+        each = lambda x: np.repeat(x, len(names))
+        again = np.tile(np.arange(len(names)), len(keys))
+        ids = pa.array(keys, pa.string()).take(pa.array(each(np.arange(len(keys)))))
+        columns = [ids, *(pa.array([x[k] for x in names], pa.string()).take(pa.array(again)) for k in range(2)), pa.array(np.hstack(list(models.values.values())).ravel()), pa.array(each(rounds)), pa.array(each(moved < tol)), pa.array(each(rest))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for key, columns in groups(batches, pa.Array.to_pylist):
-            out += solve(key, columns)
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                out = []
+        stacks: dict[tuple, tuple[list, list]] = {}
+        waiting = ready = 0
+        out: list[pa.RecordBatch] = []
+        for key, (part, _, name, domain, kind, ports, params, fixed, init) in groups(batches, listed):
+            n = sum(x == 0 for x in part)  # nodes come first
+            if not n:
+                raise ValueError(f"model {key} has components and no nodes")
+            given = [p or () for p in params[n:]]
+            nodes = tuple(zip(name[:n], domain[:n], kind[:n], strict=True))
+            comps = tuple(zip(name[n:], domain[n:], kind[n:], (tuple(p or ()) for p in ports[n:]), (tuple(k for k, _ in p) for p in given), strict=True))
+            numbers = [(f if k == "fixed" else i) or 0.0 for k, f, i in zip(kind[:n], fixed, init, strict=False)] + [float(v) for p in given for _, v in p]
+            keys, rows = stacks.setdefault((nodes, comps), ([], []))
+            keys.append(key)
+            rows.append(numbers)
+            waiting += len(part)
+            full = [((nodes, comps), stacks.pop((nodes, comps)))] if len(keys) >= (STACK if n <= STACKED_NODES else 1) else []
+            waiting -= len(full) * len(keys) * len(part)
+            if waiting >= WAITING:
+                full += stacks.items()
+                stacks, waiting = {}, 0
+            for (nodes, comps), (keys, rows) in full:
+                out.append(solve(keys, nodes, comps, rows))
+                ready += out[-1].num_rows
+            if ready >= 10_000:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out, ready = [], 0
+        out += [solve(keys, nodes, comps, rows) for (nodes, comps), (keys, rows) in stacks.items()]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     rows = dealt(left.unionByName(right), "model_id", "part", F.asc_nulls_last("seq"), "name")
     return rows.mapInArrow(run, _RESULT)

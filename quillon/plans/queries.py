@@ -459,7 +459,8 @@ def net_gear_damper(spark, d):
     nodes = _nodes(base, ("in", M, "fixed", F.col("v")), ("out", M, "unknown", None), ("ground", M, "fixed", F.lit(0.0)), ("k", M, "constraint", None), ("heat", T, "unknown", None), ("air", T, "fixed", F.lit(0.0)))
     comps = _components(base, ("gear", M, ("in", "out", "k"), {"r": F.lit(3.0)}), ("damper", M, ("out", "ground", "heat"), {"g": F.lit(4.0)}), ("link", T, ("heat", "air"), {"g": F.lit(2.0)}))
     out = network.steady_state(nodes, comps)
-    return _value(out, "out", M, "w").join(_value(out, "heat", T, "t", 3), "model_id")
+    of = lambda node, domain: F.max(F.when((F.col("node_id") == node) & (F.col("domain") == domain), F.col("value")))
+    return out.where(F.col("node_id").isin("out", "heat")).groupBy("model_id").agg(F.round(of("out", M), 5).alias("w"), F.round(of("heat", T), 3).alias("t"))
 
 
 _COO = """WITH b AS (SELECT CAST(s_suppkey AS VARCHAR) AS model_id, s_acctbal AS v, 1.0 + s_suppkey % 6 AS g FROM supplier)

@@ -113,3 +113,30 @@ def test_every_supplier_has_an_exchanger(spark, tmp_path):
     spark.range(1, 31).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
     rows = plans.QUERIES["net_heat_exchanger"](spark, str(tmp_path)).collect()
     assert {r.model_id for r in rows} == {str(k) for k in range(1, 31)} and len(rows) % 30 == 0
+
+
+def test_stacked_models_are_solved_as_each_alone():
+    nodes = [("in", M, "fixed"), ("out", M, "unknown"), ("k", M, "constraint"), ("wall", T, "unknown"), ("body", T, "unknown"), ("lone", T, "unknown"), ("air", T, "fixed"), ("air", network.HYDRAULIC, "fixed"), ("a", network.HYDRAULIC, "unknown"), ("b", network.HYDRAULIC, "unknown")]
+    comps = [("c0", M, "gear", ("in", "out", "k"), ("r",)), ("c1", M, "damper", ("out", "in", "wall"), ("g",)), ("c2", T, "link", ("wall", "body"), ("g",)), ("c3", T, "link", ("lone", "air"), ("g",)), ("c4", T, "radiation", ("body", "air"), ("area", "emissivity")), ("c5", T, "convection", ("wall", "air"), ("cp", "h0", "h1")), ("c6", network.HYDRAULIC, "link", ("a", "b"), ("g",)), ("c7", network.HYDRAULIC, "source", ("a",), ("q",))]
+    rng = np.random.default_rng(3)
+    many = 40
+    now = np.column_stack([rng.uniform(1, 9, (many, 3)), rng.uniform(280, 400, (many, 4)), rng.choice([-2.0, 0.0, 2.0], many), rng.uniform(0, 1, (many, 2))])
+    given = np.column_stack([rng.uniform(1, 3, (many, 3)), rng.choice([0.0, 1.5], many), rng.uniform(0.1, 1, (many, 2)), rng.uniform(0, 2, (many, 3)), rng.uniform(1, 3, many), rng.choice([0.0, 4.0], many)])
+    stack = network._Models(nodes, comps, np.hstack([now, given]))
+    for domain in network.DOMAINS:
+        got = network._solve_domain(stack, domain, "auto", 5000, 1e-3)
+        alone = np.vstack([network._solve_domain(stack.of(np.array([k])), domain, "auto", 5000, 1e-3) for k in range(many)])
+        assert np.isfinite(got).all() and got == pytest.approx(alone, rel=1e-9, abs=1e-9)
+
+
+def test_each_model_ends_by_itself_and_is_solved_once(spark):
+    base = spark.createDataFrame([("x", 400.0), ("y", 290.0), (None, 350.0), ("z", 440.0)], "model_id string, hot double")
+    nodes = plans._nodes(base, ("hot", T, "fixed", F.col("hot")), ("body", T, "unknown", None, 300.0), ("air", T, "fixed", F.lit(290.0)))
+    comps = plans._components(base, ("radiation", T, ("hot", "body"), {"area": F.lit(2.0), "emissivity": F.lit(0.9)}), ("link", T, ("body", "air"), {"g": F.lit(5.0)}))
+    rows = {r.model_id: r for r in network.steady_state(nodes, comps, tol=1e-7).where("node_id = 'body'").collect()}
+    for key, row in rows.items():
+        one = F.col("model_id").eqNullSafe(F.lit(key))
+        assert tuple(network.steady_state(nodes.where(one), comps.where(one), tol=1e-7).where("node_id = 'body'").first()) == pytest.approx(tuple(row))
+    assert len(rows) == 4 and all(r.converged for r in rows.values()) and rows["y"].outer_iters < rows["z"].outer_iters
+    plan = plans.QUERIES["net_gear_damper"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
