@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from quillon.operators.grouped import listed
 
 # Unit steps of the six directions, in the order in which neighbours are visited.
 STEPS = (("down", 0, -1, 0), ("up", 0, 1, 0), ("north", 0, 0, -1), ("south", 0, 0, 1), ("west", -1, 0, 0), ("east", 1, 0, 0))
@@ -14,6 +20,10 @@ OPPOSITE = {"down": "up", "up": "down", "north": "south", "south": "north", "wes
 SHAPES = {"3x1x1": ((-1, "east"), (1, "west")), "2x1x1": ((1, "west"),)}
 
 
+#: Cells of walks and of what stands in their way that a task keeps.
+HELD = 300_000
+
+
 def _along(facing: Column, axis: int) -> Column:
     return reduce(lambda c, s: F.when(facing == s[0], F.lit(s[1 + axis])).otherwise(c), STEPS, F.lit(0))
 
@@ -49,9 +59,10 @@ def fill(boxes: DataFrame, cells: DataFrame | None = None, *, polls: int = 101)
 
     Boxes: (grid_id, cx, cy, cz, x0, y0, z0, sx, sy, sz), the box lying below its corner (x0, y0, z0).  Structure
     cells of ``cells`` stay as they are and let no walk through.  A walk ends after ``polls`` places taken from its
-    queue, where a place may stand more than once, so no closed form gives its end: each box is walked on its own, in
-    constant time and memory.  Only cells that a walk can meet, at most ``polls`` steps away, are gathered for a box.
-    A box without room gives no rows; repeated boxes are walked alike.
+    queue, where a place may stand more than once, so no closed form gives its end: boxes are walked, in constant time
+    and memory, and those that look alike from their controllers share a walk while a task keeps it.  Only cells that a
+    walk can meet, at most ``polls`` steps away, are gathered for a box.  A box without room, or with a null, gives no
+    rows; repeated boxes are walked alike.
     """
     inside = (F.col("x0") - F.col("x") >= 0) & (F.col("x0") - F.col("x") < F.col("sx")) & (F.col("y0") - F.col("y") >= 0) & (F.col("y0") - F.col("y") < F.col("sy")) & (F.col("z0") - F.col("z") >= 0) & (F.col("z0") - F.col("z") < F.col("sz"))
     box = ["cx", "cy", "cz", "x0", "y0", "z0", "sx", "sy", "sz"]
@@ -63,8 +74,48 @@ def fill(boxes: DataFrame, cells: DataFrame | None = None, *, polls: int = 101)
         built = cells.where("kind = 'structure'").select("grid_id", "x", "y", "z")
         met = given.distinct().join(built, "grid_id").where(inside & near).groupBy("grid_id", *box).agg(F.collect_set(F.struct(*[F.col(c).cast("int").alias(c) for c in "xyz"])).alias("taken"))
         given = given.join(met, ["grid_id", *box], "left")
-    place = F.udf(lambda *v: _walk(v[:3], v[3:6], v[6:9], {tuple(c) for c in v[9] or ()}, polls), "array<struct<x:int,y:int,z:int,depth:int,facing:string>>", useArrow=True)
-    return given.select("grid_id", F.explode(place(*box, "taken")).alias("c")).select("grid_id", "c.*")
+
+    def rows(grids: pa.Array, met: list[tuple[int, tuple, np.ndarray]]) -> pa.RecordBatch:
+        many = [len(found) for *_, found in met]
+        cells = np.concatenate([found for *_, found in met])
+        cells[:, :3] += np.repeat(np.array([start for _, start, _ in met], dtype=np.int32), many, axis=0)
+        ids = grids.take(pa.array(np.repeat([k for k, *_ in met], many)))
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(cells[:, k])) for k in range(4)), pa.array(facings).take(pa.array(cells[:, 4]))], names=["grid_id", "x", "y", "z", "depth", "facing"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks: dict[tuple, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            met, waiting = [], 0
+            for k, (*sides, taken) in enumerate(zip(*(listed(c) for c in batch.columns[1:]), strict=True)):
+                if None in sides:
+                    continue
+                start, high, size = sides[:3], sides[3:6], sides[6:]
+                shape = (*_seen(start, high, size, polls), frozenset((c["x"] - start[0], c["y"] - start[1], c["z"] - start[2]) for c in taken or ()))
+                if shape not in walks:
+                    if held > HELD:
+                        walks, held = {}, 0
+                    walks[shape] = np.array([(*to, depth, facings.index(facing)) for *to, depth, facing in _walk((0, 0, 0), *shape, polls)], dtype=np.int32).reshape(-1, 5)
+                    held += len(shape[2]) + len(walks[shape])
+                met.append((k, start, walks[shape]))
+                waiting += len(walks[shape])
+                if waiting >= 100_000:
+                    yield rows(batch.column(0), met)
+                    met, waiting = [], 0
+            if waiting:
+                yield rows(batch.column(0), met)
+
+    facings = list(OPPOSITE)
+    # a walk takes time that the few bytes of a box do not show: the tasks are the session's shuffle partitions
+    spread = given.repartition(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInArrow(run, StructType([StructField("grid_id", boxes.schema["grid_id"].dataType)] + [StructField(c, IntegerType()) for c in ("x", "y", "z", "depth")] + [StructField("facing", StringType())]))
+
+
+def _seen(start: tuple, high: tuple, size: tuple, polls: int) -> tuple[tuple, tuple]:
+    """Corner and size, from ``start``, of the part of a box that ``polls`` steps can reach."""
+    far = [c - s for c, s in zip(high, start, strict=True)]
+    top = tuple(min(c, polls) for c in far)
+    return top, tuple(max(t - max(c - n + 1, -polls) + 1, 0) for t, c, n in zip(top, far, size, strict=True))
 
 
 def _walk(start: tuple, corner: tuple, size: tuple, taken: set, polls: int) -> list[tuple]:

@@ -136,6 +136,19 @@ def test_fill_stops_where_the_walk_stops(spark):
     assert all(r.depth == abs(r.x) + abs(r.y) + abs(r.z) for r in free)
 
 
+def test_fill_walks_alike_boxes_once(spark):
+    sides = [(g, *at, *(a + c for a, c in zip(at, corner, strict=True)), *size) for g, (at, corner, size) in enumerate([((0, 0, 0), (1, 1, 1), (3, 3, 3)), ((70, -8, 5), (1, 1, 1), (3, 3, 3)), ((7, 7, 7), (0, 0, 0), (500, 1, 1)), ((-7, 0, 0), (0, 0, 0), (102, 1, 1)), ((0, 0, 0), (300, 0, 0), (602, 1, 1)), ((0, 0, 0), (-3, 0, 0), (2, 1, 1))])]
+    boxes = spark.createDataFrame([*sides, (9, None, 0, 0, 0, 0, 0, 4, 1, 1)], "grid_id long, cx int, cy int, cz int, x0 int, y0 int, z0 int, sx int, sy int, sz int")
+    got = voxel.fill(boxes)
+    assert got.schema["grid_id"].dataType.simpleString() == "bigint" and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = got.collect()
+    for g, cx, cy, cz, x0, y0, z0, *size in sides:
+        mine = [(r.x - cx, r.y - cy, r.z - cz) for r in rows if r.grid_id == g]
+        assert len(mine) == len(set(mine)) and set(mine) == plain_fill(tuple(size), (x0 - cx, y0 - cy, z0 - cz))
+    assert not [r for r in rows if r.grid_id == 9]
+    assert voxel._seen((7, 7, 7), (7, 7, 7), (500, 1, 1), 101) == voxel._seen((-7, 0, 0), (-7, 0, 0), (102, 1, 1), 101) == ((0, 0, 0), (102, 1, 1))
+
+
 def test_states_as_text(spark):
     rows = [(1, 300.5, 1e5, -2.0, 0.25), (2, -1.0, -2.0, 0.1 + 0.2, 7.0), (3, float("nan"), 1.0, None, None), (4, None, None, None, None)]
     states = spark.createDataFrame(rows, "id long, temperature double, pressure double, specific_enthalpy double, vapor_quality double")
