@@ -12,31 +12,38 @@ from pyspark.sql import functions as F
 Function = Callable[[Column], Column]
 
 
+def _given(value: Column, then: Function) -> Column:
+    """``then(value)`` with the value computed once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def bisect(f: Function, low: Column, high: Column, eps: float, *, steps: int = 64, strict: bool = True) -> Column:
     """A root of ``f`` between two columns, halving while they are more than ``eps`` apart.
 
-    Stays in the JVM: a fold over ``steps`` numbers (64 halvings exhaust a double).  Ends of equal sign, or
-    NaN there, raise in strict mode and give null otherwise.  A NaN in the middle moves toward the end whose
-    value is a number, keeping the sign of the low end as it was.
+    Stays in the JVM: a fold over ``steps`` numbers (64 halvings exhaust a double), or over as many as the ends'
+    distance takes to halve to ``eps``; a step computes ``f`` once.  Ends of equal sign, or NaN there, raise in strict
+    mode and give null otherwise; a null there gives null.  A NaN in the middle moves toward the end whose value is a
+    number, keeping the sign of the low end as it was.
     """
+    state = lambda a, b, fa: F.struct(a.alias("a"), b.alias("b"), fa.alias("fa"))
+
+    def moved(s: Column, m: Column, fm: Column) -> Column:
+        left = state(s["a"], m, s["fa"])
+        bad = F.when(F.isnan(f(s["a"])), state(m, s["b"], s["fa"])).otherwise(left)
+        return F.when(fm.isNull(), s).when(F.isnan(fm), bad).when(fm == 0, state(m, m, s["fa"])).when(s["fa"] * fm > 0, state(m, s["b"], fm)).otherwise(left)
+
     def halve(s: Column, _: Column) -> Column:
-        m = (s["a"] + s["b"]) / 2.0
-        fm = f(m)
-        wide = (F.abs(s["b"] - s["a"]) > F.lit(eps)) & ~s["done"]
-        bad = F.isnan(fm)
-        right = F.when(bad, F.isnan(f(s["a"]))).otherwise(s["fa"] * fm > 0)
-        hit = ~bad & (fm == 0)
-        a = F.when(wide & ~hit & right, m).when(wide & hit, m).otherwise(s["a"])
-        b = F.when(wide & ~hit & ~right, m).when(wide & hit, m).otherwise(s["b"])
-        fa = F.when(wide & right & ~bad & ~hit, fm).otherwise(s["fa"])
-        return F.struct(a.alias("a"), b.alias("b"), fa.alias("fa"), (s["done"] | (wide & hit)).alias("done"))
+        half = _given((s["a"] + s["b"]) / 2.0, lambda m: _given(f(m).cast("double"), lambda fm: moved(s, m, fm)))
+        return F.when(F.abs(s["b"] - s["a"]) > F.lit(eps), half).otherwise(s)
 
     fa, fb = f(low), f(high)
     wrong = F.isnan(fa) | F.isnan(fb) | (fa * fb > 0)
-    first = F.struct(low.cast("double").alias("a"), high.cast("double").alias("b"), fa.cast("double").alias("fa"), F.lit(False).alias("done"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, halve, lambda s: (s["a"] + s["b"]) / 2.0)
+    first = state(low.cast("double"), high.cast("double"), fa.cast("double"))
+    # two more than the halvings: rounding may leave the distance just above
+    many = F.lit(float(steps)) if eps <= 0 else F.greatest(F.lit(1.0), F.least(F.lit(float(steps)), F.ceil(F.log2(F.least(F.abs(high - low) / F.lit(float(eps)), F.lit(2.0**steps)))) + 2.0))
+    found = F.aggregate(F.sequence(F.lit(1), many.cast("int")), first, halve, lambda s: (s["a"] + s["b"]) / 2.0)
     error = F.raise_error("bisect: no change of sign between the ends") if strict else F.lit(None)
-    return F.when(wrong, error.cast("double")).otherwise(found)
+    return F.when(fa.isNull() | fb.isNull(), None).when(wrong, error.cast("double")).otherwise(found)
 
 
 def descend(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start: Column, parameter: Column, step: float, dx: float, *, tolerance: float = 1e-6, most: int = 10_000) -> Column:

@@ -95,6 +95,19 @@ def test_scalars(spark):
     assert list(shown) == ["1.2e+04", "1.0e-03", "42", "1.500"]
 
 
+def test_bisection_computes_its_function_once_a_step(spark):
+    p = F.col("p")
+    rows = spark.createDataFrame([(2.0,), (None,), (0.0,), (250000.0,), (float("nan"),)], "p double")
+    root = scalar.bisect(lambda x: x * x - p * 1.0625, F.lit(0.0), F.lit(1024.0), 1e-10, strict=False)
+    got = [r[0] for r in rows.select(root).collect()]
+    assert got == [pytest.approx(2.125**0.5, abs=1e-9), None, pytest.approx(0, abs=1e-9), pytest.approx(515.388203, abs=1e-6), None]
+    # seven times at the ends, once in a step, and once more there for a NaN
+    assert str(root).count("1.0625") == 9
+    nan = scalar.bisect(lambda x: F.when(x > 3, F.lit(float("nan"))).otherwise(x - 2), F.lit(0.0), F.lit(2.5), 1e-9)
+    away = scalar.bisect(lambda x: F.when(F.abs(x - 5) < 1, F.lit(float("nan"))).otherwise(x - 2), F.lit(0.0), F.lit(10.0), 1e-9)
+    assert [spark.range(1).select(c).first()[0] for c in (nan, away)] == pytest.approx([2, 2])
+
+
 def test_moments(spark):
     n = 20_000
     ids = spark.range(n)
