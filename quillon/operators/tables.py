@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINEAR, LOGARITHMIC = "LINEAR", "LOGARITHMIC"
+#: Points of two-variable tables that come to the driver and go to all tasks; more meet their places by joins.
+FEW_POINTS = 100_000
 
 
 def forward(x: Column, mode: str) -> Column:
@@ -24,7 +27,7 @@ def inverse(t: Column, mode: str) -> Column:
     return t if mode == LINEAR else F.exp(t)
 
 
-def _lerp(y1: Column, y2: Column, t: Column) -> Column:
+def _lerp(y1: Column | np.ndarray, y2: Column | np.ndarray, t: Column | np.ndarray) -> Column | np.ndarray:
     return y1 * (1.0 - t) + y2 * t
 
 
@@ -114,7 +117,15 @@ def evaluate_2d(queries: DataFrame, points: DataFrame, *, keys: Sequence[str] =
     x beyond the first or last row takes that row, clamped or not; y beyond a row's ends is clamped or goes
     on along the line through its two end points.  ``rows`` (keys, x) adds rows without cells, at which a
     lookup is null.  Grid steps and axis modes play no part.
+
+    At most ``FEW_POINTS`` distinct points, all of them numbers, are computed once and read in memory by Arrow
+    batches, so that no place is shuffled; others meet the places by joins.
     """
+    held = None if rows is not None else points.select(*keys, *(F.col(c).cast("double").alias(f"__{c}") for c in "xyv")).limit(FEW_POINTS + 1).toArrow()
+    grids = None if held is None or held.num_rows > FEW_POINTS else _grids(held, len(keys))
+    if grids is not None:
+        place = _place(grids, clamp)
+        return queries.select(*queries.columns, place(*(F.col(k) for k in keys), F.col(at_x).cast("double"), F.col(at_y).cast("double")).alias(out))
     axis = points.select(*keys, "x").distinct()
     if rows is not None:
         axis = axis.unionByName(rows.select(*keys, "x")).distinct()
@@ -140,6 +151,78 @@ def evaluate_2d(queries: DataFrame, points: DataFrame, *, keys: Sequence[str] =
     return met.select(*queries.columns, value.alias(out))
 
 
+def _grids(held: pa.Table, n: int) -> dict[tuple, tuple[np.ndarray, ...]] | None:
+    """Rows, where their cells begin (and the last ends), y and v by the first ``n`` columns; None for cells without a number or two in one place."""
+    x, y, v = (held.column(n + k).to_numpy() for k in range(3))
+    if any(c.null_count for c in held.columns[n:]) or np.isnan(np.concatenate([x, y, v])).any():
+        return None
+    x, y = x + 0.0, y + 0.0  # one zero
+    owners: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(*(held.column(k).to_pylist() for k in range(n)), strict=True) if n else [()] * held.num_rows):
+        owners.setdefault(key, []).append(k)
+    out = {}
+    for key, own in owners.items():
+        if any(k is None or k != k for k in key):
+            return None
+        order = np.array(own)[np.lexsort((y[own], x[own]))]
+        gx, gy = x[order], y[order]
+        if ((gx[1:] == gx[:-1]) & (gy[1:] == gy[:-1])).any():
+            return None
+        at, start = np.unique(gx, return_index=True)
+        out[key] = at, np.append(start, len(gx)), gy, v[order]
+    return out
+
+
+def _along(y: np.ndarray, v: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, clamp: bool) -> np.ndarray:
+    """Values of the rows ``start`` to ``end`` at places, by the rules of ``evaluate``."""
+    low, high = start, end
+    while (wide := high - low > 1).any():
+        middle = (low + high) // 2
+        right = wide & (y[middle] <= at)
+        low, high = np.where(right, middle, low), np.where(wide & ~right, middle, high)
+    one, last = np.maximum(np.minimum(low, end - 2), start), end - 1
+    two = np.minimum(one + 1, last)
+    value = _lerp(v[one], v[two], (at - y[one]) / (y[two] - y[one]))
+    first_end, last_end = (at <= y[start], at >= y[last]) if clamp else (at == y[start], at == y[last])
+    alone = start == last
+    return np.where(first_end | alone, v[start], np.where(last_end, v[last], value))
+
+
+def _place(grids: dict[tuple, tuple[np.ndarray, ...]], clamp: bool) -> Callable[..., Column]:
+    def read(grid: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        rows, start, ys, vs = grid
+        x = np.minimum(np.maximum(x, rows[0]), rows[-1])
+        one = np.clip(np.searchsorted(rows, x, side="right") - 1, 0, len(rows) - 1)
+        two = np.where(x > rows[one], np.minimum(one + 1, len(rows) - 1), one)
+        a = _along(ys, vs, start[one], start[one + 1], y, clamp)
+        b = _along(ys, vs, start[two], start[two + 1], y, clamp)
+        return np.where(one == two, a, _lerp(a, b, (x - rows[one]) / (rows[two] - rows[one])))
+
+    @F.arrow_udf("double")
+    def place(*columns: pa.Array) -> pa.Array:
+        *given, x, y = columns
+        with np.errstate(all="ignore"):
+            # a null x takes the first row, as the least of numbers
+            none = y.is_null().to_numpy(zero_copy_only=False)
+            x, y = x.fill_null(-np.inf).to_numpy(), y.fill_null(np.nan).to_numpy()
+            none = none | np.isnan(x) | np.isnan(y)
+            out = np.full(len(x), np.nan)
+            codes = [c.dictionary_encode() for c in given]
+            if all(len(c.dictionary) == 1 and not c.null_count for c in codes):
+                shares = [(tuple(c.dictionary[0].as_py() for c in codes), slice(None))]
+            else:
+                names, which = np.unique(np.column_stack([c.indices.fill_null(-1).to_numpy() for c in codes]), axis=0, return_inverse=True)
+                shares = [(tuple(None if k < 0 else c.dictionary[int(k)].as_py() for c, k in zip(codes, name, strict=True)), np.flatnonzero(which.ravel() == n)) for n, name in enumerate(names)]
+            for key, here in shares:
+                if key in grids:
+                    out[here] = read(grids[key], x[here], y[here])
+                else:
+                    none[here] = True
+        return pa.array(out, mask=none)
+
+    return place
+
+
 # ---- construction ---------------------------------------------------------------------------------------
 
 

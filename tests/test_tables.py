@@ -53,6 +53,24 @@ def test_two_dimensions(spark):
     assert at2d(spark, holed, [(2, 4)], rows=rows) == [None]
 
 
+@pytest.mark.parametrize("clamp", [True, False])
+def test_few_points_are_read_in_memory_and_equal_the_joins(spark, monkeypatch, clamp):
+    cells = [(g, x * 1.5, y + 0.1 * x, math.sin(3 * x + y) + len(g)) for g in ("f", "g") for x in range(-2, 5) for y in range(6) if (x * 7 + y * 3) % 4 or (x, y) == (4, 0)] + [("one", 1.0, 2.0, 5.0)]
+    points = spark.createDataFrame(cells, "fn_id string, x double, y double, v double")
+    ends = [None, float("nan"), float("inf"), float("-inf"), -3.0, -0.0, 0.0, 1.0, 1.5, 2.2, 6.0, 7.5, 3.1]
+    places = [(k, g, x, y) for k, (g, x, y) in enumerate((g, x, y) for g in ("f", "g", "one", "none", None) for x in ends for y in ends)]
+    q = spark.createDataFrame(places, "id int, fn_id string, x double, y double")
+    quick = tables.evaluate_2d(q, points, clamp=clamp)
+    plan = quick._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    monkeypatch.setattr(tables, "FEW_POINTS", 10)
+    slow = tables.evaluate_2d(q, points, clamp=clamp)
+    got, want = ({r.id: r.value for r in df.collect()} for df in (quick, slow))
+    assert len(got) == len(places) and {k: str(v) for k, v in got.items() if v is None or v != v} == {k: str(v) for k, v in want.items() if v is None or v != v}
+    assert [got[k] for k in want if want[k] is not None] == pytest.approx([v for v in want.values() if v is not None], nan_ok=True, rel=1e-12)
+    assert tables.evaluate_2d(q, points.where("false"), clamp=clamp).where("value is not null").count() == 0
+
+
 def test_build_merge_split_json(spark):
     assert tables.grid_keys(0.0, 1.0, 0.25) == [0.0, 0.25, 0.5, 0.75]
     with pytest.raises(ValueError):
